@@ -97,7 +97,7 @@ def project(df: DataFrame, out_dim: int, seed: int = 42, in_dim: int | None = No
 
 # ---------------------------------------------------------------- message passing
 
-def _sum_messages(edges: DataFrame, vectors: DataFrame, dim: int, how=F.sum,
+def sum_messages(edges: DataFrame, vectors: DataFrame, dim: int, how=F.sum,
                   weight: str | None = None) -> DataFrame:
     """Aggregate source vectors at each destination.
 
@@ -125,7 +125,7 @@ def lightgcn(vectors: DataFrame, edges: DataFrame, dim: int, layers: int = 1,
         state = materialize(state, "lightgcn")
     for layer in range(layers):
         scaled = state.select("node", F.transform("x", lambda c: c / F.col("root")).alias("v"))
-        incoming = _sum_messages(edges, scaled, dim, weight=weight)
+        incoming = sum_messages(edges, scaled, dim, weight=weight)
         x = F.transform(F.coalesce(F.col("m"), V.zeros(dim)), lambda c: c / F.col("root"))
         state = (state.join(incoming, "node", "left")
                  .select("node", "root", x.alias("x"), "acc")
@@ -137,7 +137,7 @@ def lightgcn(vectors: DataFrame, edges: DataFrame, dim: int, layers: int = 1,
 
 def neighbour_mean(vectors: DataFrame, edges: DataFrame, dim: int) -> DataFrame:
     """Mean source vector per destination node; nodes without incoming edges are absent."""
-    return _sum_messages(edges, vectors, dim, how=F.avg)
+    return sum_messages(edges, vectors, dim, how=F.avg)
 
 
 def sage(vectors: DataFrame, edges: DataFrame, dim: int, weights: list[dict],

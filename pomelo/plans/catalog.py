@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import prepare, tables  # noqa: F401
+from . import models, prepare, tables  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]
