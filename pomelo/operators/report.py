@@ -40,7 +40,7 @@ def window_stats(samples: DataFrame, markers: DataFrame, by: str = "run") -> Dat
     """
     inside = samples.join(markers, by).filter((F.col("ts") >= F.col("t0")) & (F.col("ts") <= F.col("t1")))
     return inside.groupBy(by, "phase").agg(
-        N.round_even(F.avg("value"), 2).alias("mean_value"), N.round_even(F.max("value"), 2).alias("max_value"),
+        N.round_even(N.settle(F.avg("value")), 2).alias("mean_value"), N.round_even(F.max("value"), 2).alias("max_value"),
         N.round_even(F.min("value"), 2).alias("min_value"), F.count(F.lit(1)).alias("n_samples"))
 
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import models, prepare, tables  # noqa: F401
+from . import ingest, models, prepare, reports, tables, updates  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]

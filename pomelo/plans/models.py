@@ -429,7 +429,19 @@ def ideal_metrics(spark, sf):
     return _rounded(evaluate.ideal_metrics(D.prepared(spark, sf).part("test"), KS, D.RELEVANT_FROM))
 
 
-@query("normalized_metrics", "M7 F22", None)
+def _means_long(per_user: str, out: str) -> str:
+    """(k, metric, value) means of a per-user metric table."""
+    means = ", ".join(f'avg("{m}") AS "{"MAP" if m == "AP" else m}"' for m in ("P", "R", "HR", "NDCG", "MRR", "AP"))
+    return f"""{out}_wide AS (SELECT k, {means} FROM {per_user} GROUP BY k),
+{out} AS (UNPIVOT {out}_wide ON "P","R","HR","NDCG","MRR","MAP" INTO NAME metric VALUE value)"""
+
+
+@query("normalized_metrics", "M7 F22", f"""WITH {EVAL}, {IDEAL}, {S.user_metrics()}, {_means_long('per_user', 'model')},
+{RANDOM.replace('ranked AS', 'drawn AS')}, {S.user_metrics(ranked='drawn', tag='_r')}, {_means_long('per_user_r', 'rand')},
+j AS (SELECT k, metric, m.value, r.value AS baseline, CASE metric WHEN 'P' THEN i."P" WHEN 'R' THEN i."R" ELSE 1.0 END AS ideal
+  FROM model m JOIN rand r USING (k, metric) JOIN ideal i USING (k))
+SELECT k, metric, {S.even('value*100.0::DOUBLE', 4)} AS pct, CASE WHEN baseline > 1e-9 THEN {S.even('value/baseline', 3)} END AS lift,
+  CASE WHEN ideal-baseline > 1e-9 THEN {S.even('(value-baseline)/(ideal-baseline)*100.0::DOUBLE', 2)} END AS norm FROM j""")
 def normalized_metrics(spark, sf):
     p, ranked = _ranked(spark, sf)
     test = p.part("test")

@@ -17,6 +17,10 @@ def r6(x: str) -> str:
     return f"(floor(({x})*1e6+0.5::DOUBLE)/1e6)"
 
 
+def r9(x: str) -> str:
+    return f"(floor(({x})*1e9+0.5::DOUBLE)/1e9)"
+
+
 def even(x: str, digits: int) -> str:
     scale = f"{10 ** digits}::DOUBLE"
     return f"(CAST(round_even(CAST(({x})*{scale} AS DOUBLE),0) AS DOUBLE)/{scale}+0.0::DOUBLE)"
@@ -88,23 +92,23 @@ def top_k(k: int, users: str = "uvec", seen: str | None = "train_part", out: str
 
 
 def user_metrics(ks=(5, 10, 20), ranked: str = "ranked", test: str = "test_part", k_filter: bool = False,
-                 threshold: float = RELEVANT_FROM) -> str:
-    """``per_user``(user, k, P, R, F1, NDCG, MRR, HR, AP)."""
+                 threshold: float = RELEVANT_FROM, tag: str = "") -> str:
+    """``per_user``(user, k, P, R, F1, NDCG, MRR, HR, AP); ``tag`` ends all names it defines."""
     filt = "WHERE n_all >= k" if k_filter else ""
-    return f"""rel AS (SELECT DISTINCT "user", item FROM {test} WHERE rating >= {threshold}),
-pool AS (SELECT t."user", count(DISTINCT t.item) AS n_all, count(DISTINCT r.item) AS n_rel FROM {test} t
-  LEFT JOIN rel r ON t."user" = r."user" AND t.item = r.item GROUP BY t."user" HAVING count(DISTINCT r.item) > 0),
-hits AS (SELECT k."user", k.rank, row_number() OVER (PARTITION BY k."user" ORDER BY k.rank) AS nth
-  FROM {ranked} k JOIN rel USING ("user", item)),
-ks AS (SELECT unnest({list(ks)}) AS k),
-counted AS (SELECT p."user", k, any_value(n_all) AS n_all, any_value(n_rel) AS n_rel, count(h.rank) AS n,
+    return f"""rel{tag} AS (SELECT DISTINCT "user", item FROM {test} WHERE rating >= {threshold}),
+pool{tag} AS (SELECT t."user", count(DISTINCT t.item) AS n_all, count(DISTINCT r.item) AS n_rel FROM {test} t
+  LEFT JOIN rel{tag} r ON t."user" = r."user" AND t.item = r.item GROUP BY t."user" HAVING count(DISTINCT r.item) > 0),
+hits{tag} AS (SELECT k."user", k.rank, row_number() OVER (PARTITION BY k."user" ORDER BY k.rank) AS nth
+  FROM {ranked} k JOIN rel{tag} USING ("user", item)),
+ks{tag} AS (SELECT unnest({list(ks)}) AS k),
+counted{tag} AS (SELECT p."user", k, any_value(n_all) AS n_all, any_value(n_rel) AS n_rel, count(h.rank) AS n,
   coalesce(sum(1.0::DOUBLE/log2(h.rank+1)), 0.0) AS dcg, coalesce(sum(CAST(h.nth AS DOUBLE)/h.rank), 0.0) AS ap, min(h.rank) AS first_hit
-  FROM pool p CROSS JOIN ks LEFT JOIN hits h ON h."user" = p."user" AND h.rank <= k GROUP BY p."user", k),
-per_user AS (SELECT "user", CAST(k AS BIGINT) AS k, n/CAST(k AS DOUBLE) AS "P", n/CAST(n_rel AS DOUBLE) AS "R",
+  FROM pool{tag} p CROSS JOIN ks{tag} LEFT JOIN hits{tag} h ON h."user" = p."user" AND h.rank <= k GROUP BY p."user", k),
+per_user{tag} AS (SELECT "user", CAST(k AS BIGINT) AS k, n/CAST(k AS DOUBLE) AS "P", n/CAST(n_rel AS DOUBLE) AS "R",
   CASE WHEN n > 0 THEN 2.0::DOUBLE*(n/CAST(k AS DOUBLE))*(n/CAST(n_rel AS DOUBLE))/(n/CAST(k AS DOUBLE)+n/CAST(n_rel AS DOUBLE)) ELSE 0.0 END AS "F1",
   dcg/list_sum(list_transform(range(1, least(n_rel, k)+1), lambda i: 1.0::DOUBLE/log2(i+1))) AS "NDCG",
   CASE WHEN first_hit IS NULL THEN 0.0 ELSE 1.0::DOUBLE/first_hit END AS "MRR",
-  CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS "HR", ap/CAST(least(n_rel, k) AS DOUBLE) AS "AP" FROM counted {filt})"""
+  CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS "HR", ap/CAST(least(n_rel, k) AS DOUBLE) AS "AP" FROM counted{tag} {filt})"""
 
 
 def mean_metrics(ks=(5, 10, 20)) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N, text
+from ..functions.hashing import xavier_bound
 from ..operators import clean, encode, graph, subset
 from ..session import fresh_path
 from ..sources import edges as edge_files, reviews as review_files
@@ -326,7 +327,13 @@ def vector_functions(spark, sf):
                     N.r6(F.aggregate(F.slice("v", 1, 8), F.lit(0.0), lambda a, x: a + x)).alias("head_sum"))
 
 
-@query("linear_projection", "F28", None)
+_XAVIER = xavier_bound(64, 16)
+_PROJECTED = ", ".join(S.r6(f"sum(CASE WHEN r = {i} THEN w*x END)") + f" AS p{i}" for i in range(16))
+
+
+@query("linear_projection", "F28", f"""WITH m AS (SELECT r, c, ({S.u(D.SEED, 'r', 'c')}*2.0::DOUBLE-1.0::DOUBLE)*{_XAVIER!r}::DOUBLE AS w FROM range(16) a(r), range(64) b(c)),
+e AS (SELECT vec_id, unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+SELECT vec_id, {_PROJECTED} FROM e JOIN m ON c = d GROUP BY vec_id""")
 def linear_projection(spark, sf):
     e = D.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return graph.project(e, 16, D.SEED, 64).select("vec_id", *[N.r6(F.col("v")[i]).alias(f"p{i}") for i in range(16)])

@@ -35,8 +35,9 @@ def read_metrics(spark: SparkSession, pattern: str) -> DataFrame:
     return df.select(*parse_run(F.col("_path")), *[c for c in df.columns if c != "_path"]).filter(F.col("run") != "")
 
 
-def read_run_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_RECORD).option("multiLine", "true").json(path)
+def read_run_records(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Nested run records, one per line, or one indented record (or list of them) per file."""
+    return spark.read.schema(RUN_RECORD).option("multiLine", str(one_per_file).lower()).json(path)
 
 
 def flatten_ranking(metrics: DataFrame, column: str = "ranking") -> DataFrame:
