@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _c(x: Column | str) -> Column:
@@ -53,6 +53,25 @@ def pack(dim: int, prefix: str = "_d") -> Column:
     return F.array(*[F.col(f"{prefix}{i}") for i in range(dim)])
 
 
+# vector tables up to this size may be broadcast: rows x components x 8 bytes
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def small_side(vectors: DataFrame, rows: int | None, dim: int) -> DataFrame:
+    """Broadcast hint for a vector table whose known size is small; else unchanged.
+
+    ``rows`` comes from the id tables; beyond the limit, or if unknown, the join shuffles.
+    """
+    if rows is not None and rows * (dim + 2) * 8 <= BROADCAST_BYTES:
+        return F.broadcast(vectors)
+    return vectors
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows with unique keys dealt out over all cores, for work that is heavy per row."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def matvec(matrix: list[list[float]], bias: list[float] | None = None):
     """``column -> matrix . column (+ bias)`` on Arrow batches.
 

@@ -70,8 +70,10 @@ def initial_vectors(nodes: DataFrame, dim: int, n_nodes: Column | int, seed: int
     """Xavier-uniform start vectors that depend on (node, component, seed) only."""
     count = F.lit(n_nodes) if isinstance(n_nodes, int) else n_nodes
     bound = F.sqrt(F.lit(6.0) / (count + F.lit(dim)))
-    value = lambda i: (uniform(seed, "node", F.lit(i)) * 2.0 - 1.0) * bound
-    return nodes.select("node", F.array(*[value(i) for i in range(dim)]).alias("v"))
+    # ids are small but each costs dim hashes: deal them out to all cores first
+    return V.dealt(nodes.select("node"), "node").select("node", F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda i: (uniform(seed, "node", i) * 2.0 - 1.0) * bound).alias("v"))
 
 
 def node_table(user_ids: DataFrame, item_ids: DataFrame) -> DataFrame:
@@ -98,20 +100,22 @@ def project(df: DataFrame, out_dim: int, seed: int = 42, in_dim: int | None = No
 # ---------------------------------------------------------------- message passing
 
 def sum_messages(edges: DataFrame, vectors: DataFrame, dim: int, how=F.sum,
-                  weight: str | None = None) -> DataFrame:
-    """Aggregate source vectors at each destination.
+                 weight: str | None = None, n_nodes: int | None = None) -> DataFrame:
+    """Aggregate (optionally weighted) source vectors at each destination: (node, m).
 
     Partial sums are built before the shuffle, so a node with very many edges costs one
-    row per map task; a source with very many edges is split by AQE's skew join.
+    row per map task; a source with very many edges is split by AQE's skew join. With
+    ``n_nodes`` known and small, the vectors are broadcast and edges stay in place.
     """
-    joined = edges.join(vectors.select(F.col("node").alias("src"), "v"), "src")
-    v = F.col("v") if weight is None else V.scale("v", F.col(weight))
-    sums = joined.select("dst", v.alias("v")).groupBy("dst").agg(*V.component_aggs("v", dim, how))
+    side = V.small_side(vectors.select(F.col("node").alias("src"), "v"), n_nodes, dim)
+    joined = edges.join(side, "src")
+    part = lambda c: how(c if weight is None else c * F.col(weight))
+    sums = joined.groupBy("dst").agg(*V.component_aggs("v", dim, part))
     return sums.select(F.col("dst").alias("node"), V.pack(dim).alias("m"))
 
 
 def lightgcn(vectors: DataFrame, edges: DataFrame, dim: int, layers: int = 1,
-             weight: str | None = None) -> DataFrame:
+             weight: str | None = None, n_nodes: int | None = None) -> DataFrame:
     """Mean of layers 0..L of symmetric-normalised propagation.
 
     The source part of the norm is folded into the vectors and the destination part
@@ -125,7 +129,7 @@ def lightgcn(vectors: DataFrame, edges: DataFrame, dim: int, layers: int = 1,
         state = materialize(state, "lightgcn")
     for layer in range(layers):
         scaled = state.select("node", F.transform("x", lambda c: c / F.col("root")).alias("v"))
-        incoming = sum_messages(edges, scaled, dim, weight=weight)
+        incoming = sum_messages(edges, scaled, dim, weight=weight, n_nodes=n_nodes)
         x = F.transform(F.coalesce(F.col("m"), V.zeros(dim)), lambda c: c / F.col("root"))
         state = (state.join(incoming, "node", "left")
                  .select("node", "root", x.alias("x"), "acc")
@@ -263,25 +267,31 @@ def sample_neighbours(edges: DataFrame, seeds: DataFrame, fan_out: tuple[int, ..
 
 
 def sample_negatives(pairs: DataFrame, positives: DataFrame, n_items: int, n_neg: int = 10,
-                     rounds: int = 5, seed: int = 42) -> DataFrame:
+                     rounds: int = 5, seed: int | str = 42) -> DataFrame:
     """``n_neg`` random items per (user_idx, item_idx) pair that the user has not chosen.
 
     Each slot draws once and redraws up to ``rounds`` times while it hits a positive; the
-    last draw is kept if all hit. All draws are tested in one join.
+    last draw is kept if all hit. First draws are tested in one join and written; only
+    the few that hit go on, with all their redraws in one more join.
     """
-    slots = pairs.select("user_idx", "item_idx", F.explode(
-        F.sequence(F.lit(0), F.lit(n_neg - 1))).alias("slot"))
-    draws = slots.select("*", F.posexplode(F.array(*[
-        F.pmod(hash32(seed, "user_idx", "item_idx", "slot", F.lit(r)), F.lit(n_items).cast("long"))
-        for r in range(rounds + 1)])).alias("round", "neg_idx"))
+    draw = lambda r: F.pmod(hash32(seed, "user_idx", "item_idx", "slot", F.lit(r)), F.lit(n_items).cast("long"))
     taken = (positives.select("user_idx", F.col("item_idx").alias("neg_idx")).distinct()
-             .withColumn("_hit", F.lit(1)))
-    tested = draws.join(taken, ["user_idx", "neg_idx"], "left")
-    # first free draw, else the last one; draw order and item share one long, so the
+             .withColumn("_hit", F.lit(True)))
+    dealt = V.dealt(pairs.select("user_idx", "item_idx"), "user_idx", "item_idx")
+    slots = dealt.select("user_idx", "item_idx", F.explode(
+        F.sequence(F.lit(0), F.lit(n_neg - 1))).alias("slot")).withColumn("neg_idx", draw(0))
+    first = materialize(slots.join(taken, ["user_idx", "neg_idx"], "left"), "draws")
+    names = ["user_idx", "item_idx", "slot", "neg_idx"]
+    free = first.filter(F.col("_hit").isNull()).select(*names)
+    if rounds < 1:
+        return first.select(*names)
+    again = first.filter("_hit").select("user_idx", "item_idx", "slot", F.posexplode(
+        F.array(*[draw(r) for r in range(1, rounds + 1)])).alias("round", "neg_idx"))
+    tested = again.join(taken, ["user_idx", "neg_idx"], "left")
+    # first free redraw, else the last one; redraw order and item share one long, so the
     # minimum stays a hash aggregate with map-side combine
-    order = F.when(F.col("_hit").isNull(), F.col("round")).otherwise(
-        F.lit(2 * rounds + 1) - F.col("round"))
+    order = F.when(F.col("_hit").isNull(), F.col("round")).otherwise(F.lit(2 * rounds) - F.col("round"))
     coded = F.shiftleft(order.cast("long"), 40) + F.col("neg_idx")
-    return (tested.groupBy("user_idx", "item_idx", "slot").agg(F.min(coded).alias("_best"))
-            .select("user_idx", "item_idx", "slot",
-                    F.col("_best").bitwiseAND(F.lit((1 << 40) - 1)).alias("neg_idx")))
+    redrawn = tested.groupBy("user_idx", "item_idx", "slot").agg(F.min(coded).alias("_best")).select(
+        "user_idx", "item_idx", "slot", F.col("_best").bitwiseAND(F.lit((1 << 40) - 1)).alias("neg_idx"))
+    return free.unionByName(redrawn)

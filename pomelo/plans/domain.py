@@ -103,7 +103,7 @@ class Prepared:
         key = (self.folder, "vectors")
         if key not in _WRITTEN:
             _WRITTEN[key] = materialize(
-                graph.lightgcn(self.start_vectors(), self.graph(), DIM, LAYERS), "vectors")
+                graph.lightgcn(self.start_vectors(), self.graph(), DIM, LAYERS, n_nodes=sum(self.sizes())), "vectors")
         return _WRITTEN[key]
 
 

@@ -81,6 +81,13 @@ def dead_letters(spark, sf):
     return A.dead_letters(D.kafka_records(spark, sf)).select("topic", "offset", "error")
 
 
+@query("console_projection", "S14", f"""WITH {S.ARTICLES} SELECT CASE WHEN NOT bad THEN title END AS title, CASE WHEN NOT bad THEN source END AS source,
+  CASE WHEN NOT bad THEN published_at END AS published_at, CASE WHEN NOT bad THEN strftime(sent_at, '%Y-%m-%dT%H:%M:%S') END AS ingested_at
+  FROM articles WHERE NOT lost AND topic = '{kafka.ARXIV_TOPIC}'""")
+def console_projection(spark, sf):
+    return A.console_view(D.kafka_records(spark, sf), kafka.ARXIV_TOPIC)
+
+
 # ---------------------------------------------------------------- the streams themselves, over files
 
 def _record_files(spark, sf):

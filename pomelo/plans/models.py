@@ -88,7 +88,7 @@ def warm_start(spark, sf):
 SELECT graph.dst AS node, d, {S.r6('sum(x)')} AS x FROM graph JOIN start ON src = node GROUP BY graph.dst, d""")
 def message_passing(spark, sf):
     p = D.prepared(spark, sf)
-    sums = graph.sum_messages(p.graph(), p.start_vectors(), D.DIM)
+    sums = graph.sum_messages(p.graph(), p.start_vectors(), D.DIM, n_nodes=sum(p.sizes()))
     return _components(sums.withColumnRenamed("m", "v"), "node")
 
 
@@ -102,14 +102,14 @@ def neighbour_mean(spark, sf):
 @query("lightgcn_one_layer", "G4", f"WITH {S.VECTORS} SELECT node, d, {S.r6('x')} AS x FROM final")
 def lightgcn_one_layer(spark, sf):
     p = D.prepared(spark, sf)
-    return _components(graph.lightgcn(p.start_vectors(), p.graph(), D.DIM, 1), "node")
+    return _components(graph.lightgcn(p.start_vectors(), p.graph(), D.DIM, 1, n_nodes=sum(p.sizes())), "node")
 
 
 @query("lightgcn_two_layers", "G4", f"""WITH {S.GRAPH}, {S.start_vectors()}, {S.propagate('start', 'one')}, {S.propagate('one', 'two')}
 SELECT node, d, {S.r6('(a.x+b.x+c.x)/3.0::DOUBLE')} AS x FROM start a JOIN one b USING (node, d) JOIN two c USING (node, d)""")
 def lightgcn_two_layers(spark, sf):
     p = D.prepared(spark, sf)
-    return _components(graph.lightgcn(p.start_vectors(), p.graph(), D.DIM, 2), "node")
+    return _components(graph.lightgcn(p.start_vectors(), p.graph(), D.DIM, 2, n_nodes=sum(p.sizes())), "node")
 
 
 def _matrix_sql(name: str, seed: str, rows: int, cols: int) -> str:
@@ -223,7 +223,7 @@ def _triples(spark, sf):
 SELECT {S.r6('ranking')} AS ranking, {S.r6('penalty*1e6')} AS penalty_micro, {S.r6('ranking+penalty')} AS loss, n AS n_triples FROM s""")
 def bpr_loss(spark, sf):
     p, triples = _triples(spark, sf)
-    row = training.bpr_loss(triples, p.vectors(), p.sizes()[0], 1e-5)
+    row = training.bpr_loss(triples, p.vectors(), p.sizes()[0], D.DIM, 1e-5, sum(p.sizes()))
     return row.select(N.r6("ranking").alias("ranking"), N.r6(F.col("penalty") * 1e6).alias("penalty_micro"),
                       N.r6("loss").alias("loss"), "n_triples")
 
@@ -237,10 +237,8 @@ SELECT node, d, {S.r6('sum(g)')} AS x FROM g GROUP BY node, d""")
 def bpr_gradient(spark, sf):
     p, triples = _triples(spark, sf)
     n_users, _ = p.sizes()
-    stored = materialize(triples, "triples")
-    g = training.bpr_gradient(stored, p.vectors(), n_users, D.DIM, 1e-5)
-    n = stored.count()
-    return _components(g.select("node", F.transform("g", lambda c: c * float(n)).alias("v")), "node")
+    g = training.bpr_gradient(triples, p.vectors(), n_users, D.DIM, 1e-5, sum(p.sizes()))
+    return _components(g.withColumnRenamed("g", "v"), "node")
 
 
 @query("bpr_training", "G10", None)
