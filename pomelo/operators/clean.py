@@ -45,8 +45,13 @@ def distinct_categories(df: DataFrame, column: str = "categories") -> DataFrame:
               .distinct().orderBy("category"))
 
 
+def keys_of(df: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of a long table, combined per map task before they are shuffled."""
+    return df.select(key).distinct()
+
+
 def known_only(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Rows whose key exists in ``dim``; a semi join, so nothing is duplicated.
+    """Rows whose key exists in ``dim`` (one row per key); a semi join, so nothing is duplicated.
 
     The side is broadcast only below the session's broadcast threshold; beyond it AQE
     splits a frequent key over several tasks.
@@ -66,7 +71,7 @@ def join_and_clean(reviews: DataFrame, businesses: DataFrame, threshold: int = 3
 
 def referenced_by(dim: DataFrame, df: DataFrame, key: str) -> DataFrame:
     """Rows of ``dim`` that occur in ``df``."""
-    return dim.join(df.select(key), key, "left_semi")
+    return dim.join(keys_of(df, key), key, "left_semi")
 
 
 def latest_row(df: DataFrame, keys: list[str], newest_first: list[Column]) -> DataFrame:

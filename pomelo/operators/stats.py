@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import round_even
+from .clean import keys_of
 
 
 def split_counts(df: DataFrame, column: str = "split") -> DataFrame:
@@ -57,7 +58,7 @@ def quality_report(df: DataFrame, known_users: DataFrame, known_items: DataFrame
                           F.min("n").alias(f"min_per_{tag}"))
 
     def new_rows(known: DataFrame, key: str):
-        return df.join(known.select(key), key, "left_anti").select(F.count(F.lit(1))).scalar()
+        return df.join(keys_of(known, key), key, "left_anti").select(F.count(F.lit(1))).scalar()
 
     users, items = per("user_id", "user"), per("item_id", "item")
     base = df.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("rating").alias("rating_mean"),
@@ -93,19 +94,19 @@ def most_active(df: DataFrame, key: str = "user_id", k: int = 10) -> DataFrame:
 
 def overlap_count(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Number of distinct keys both sides share."""
-    return (left.select(key).distinct().join(right.select(key), key, "left_semi")
+    return (keys_of(left, key).join(keys_of(right, key), key, "left_semi")
             .agg(F.count(F.lit(1)).alias("n_common")))
 
 
 def upload_profile(upload: DataFrame, known_users: DataFrame, known_items: DataFrame) -> DataFrame:
     """Rows, distinct users and items of a batch, and how many of them are new."""
-    users, items = upload.select("user_id").distinct(), upload.select("item_id").distinct()
+    users, items = keys_of(upload, "user_id"), keys_of(upload, "item_id")
     n = lambda frame: frame.select(F.count(F.lit(1))).scalar()
     return upload.agg(F.count(F.lit(1)).alias("reviews")).select(
         "reviews", n(users).alias("users"),
-        n(users.join(known_users.select("user_id"), "user_id", "left_anti")).alias("new_users"),
+        n(users.join(keys_of(known_users, "user_id"), "user_id", "left_anti")).alias("new_users"),
         n(items).alias("items"),
-        n(items.join(known_items.select("item_id"), "item_id", "left_anti")).alias("new_items"))
+        n(items.join(keys_of(known_items, "item_id"), "item_id", "left_anti")).alias("new_items"))
 
 
 def content_key(df: DataFrame, order: str, key: str, model: str, group: int = 4096) -> DataFrame:

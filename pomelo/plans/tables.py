@@ -214,7 +214,7 @@ def unseen_entities(spark, sf):
     reviews = D.reviews(spark, sf)
     old = reviews.filter(F.col("date") < F.lit("1996-01-01").cast("date"))
     late = reviews.filter(F.col("date") >= F.lit("2001-01-01").cast("date"))
-    return clean.unknown_only(late.select("user_id").distinct(), old, "user_id")
+    return clean.unknown_only(clean.keys_of(late, "user_id"), clean.keys_of(old, "user_id"), "user_id")
 
 
 @query("catalogue_in_id_order", "J8", f"""WITH {S.PREPARED} SELECT item_idx, item_id, name, categories FROM item_ids JOIN items USING (item_id)""")
