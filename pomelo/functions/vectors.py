@@ -67,9 +67,16 @@ def small_side(vectors: DataFrame, rows: int | None, dim: int) -> DataFrame:
     return vectors
 
 
+def width(df: DataFrame) -> int:
+    """Number of tasks that keeps the cluster busy; with dynamic allocation the cores in use
+    may be few at first, so the shuffle width counts as well."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """Rows with unique keys dealt out over all cores, for work that is heavy per row."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return df.repartition(width(df), *keys)
 
 
 def matvec(matrix: list[list[float]], bias: list[float] | None = None):

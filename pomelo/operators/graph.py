@@ -115,7 +115,8 @@ def sum_messages(edges: DataFrame, vectors: DataFrame, dim: int, how=F.sum,
 
 
 def lightgcn(vectors: DataFrame, edges: DataFrame, dim: int, layers: int = 1,
-             weight: str | None = None, n_nodes: int | None = None) -> DataFrame:
+             weight: str | None = None, n_nodes: int | None = None,
+             degree: DataFrame | None = None) -> DataFrame:
     """Mean of layers 0..L of symmetric-normalised propagation.
 
     The source part of the norm is folded into the vectors and the destination part

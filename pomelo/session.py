@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # packed blocks of vectors are big rows: bound Arrow batches by bytes
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 _LOCAL_DIRS: dict[str, str] = {}
@@ -55,6 +57,40 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/pomelo/{label}-{uuid.uuid4().hex}"
 
 
+class TemporaryTables:
+    """Tables written by :func:`materialize` inside a ``with`` block are deleted at its end,
+    unless kept. For loops whose every round replaces the tables of the last one."""
+
+    _open: list["TemporaryTables"] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._paths = spark, []
+
+    def __enter__(self) -> "TemporaryTables":
+        TemporaryTables._open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> str:
+        """Take a table out of the deletion and return its path."""
+        path = self._paths.pop()
+        if path not in df.inputFiles()[0]:
+            raise ValueError("keep() takes the table written last")
+        return path
+
+    def __exit__(self, *_error) -> None:
+        TemporaryTables._open.remove(self)
+        for path in self._paths:
+            delete_table(self._spark, path)
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table below the shared folder."""
+    if not path.startswith(f"{shared_dir(spark)}/pomelo/"):
+        raise ValueError(f"{path} is no intermediate table")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, label: str = "table",
                 partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
@@ -68,4 +104,6 @@ def materialize(df: DataFrame, label: str = "table",
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    if TemporaryTables._open:
+        TemporaryTables._open[-1]._paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
