@@ -27,7 +27,7 @@ def dataset(spark, tmp_path_factory):
 
 def test_scratch_evaluate_recommend_update(spark, dataset, tmp_path):
     out = str(tmp_path / "model")
-    cfg = config.load(None, {"model": {"emb_dim": 4}, "train": {"epochs": 3, "warmup_epochs": 1, "n_neg": 2, "lr": 0.2,
+    cfg = config.load(None, {"model": {"emb_dim": 4}, "train": {"epochs": 2, "warmup_epochs": 1, "n_neg": 2, "lr": 0.2,
                                                                "min_epochs": 2, "eval_every": 2},
                              "incremental": {"epochs": 1, "warmup_epochs": 1}, "evaluation": {"k_list": [3, 5]}})
     metrics = jobs.scratch(spark, dataset, out, cfg)

@@ -36,6 +36,26 @@ def test_top_k_equals_brute_force(spark, blocks):
     assert len(mine[100]) == 1
 
 
+def test_dense_history_shrinks_blocks(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SEEN_PAIRS", 50)
+    users = table(spark, "user", range(200), np.ones((200, 1)))
+    items = table(spark, "item", range(150), np.arange(150.0)[:, None])
+    seen = spark.range(200 * 149).select((F.col("id") % 200).alias("user"), (F.col("id") / 200 + 1).cast("long").alias("item"))
+    got = scoring.top_k_by_dot(users, items, 5, seen).collect()
+    assert len(got) == 200 and {r["item"] for r in got} == {0}
+
+
+def test_both_join_ways_agree(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    users = table(spark, "user", range(80), rng.normal(size=(80, 3)))
+    items = table(spark, "item", range(70), rng.normal(size=(70, 3)))
+    seen = spark.createDataFrame([(1, 2), (1, 3)], "user long, item long")
+    view = lambda: sorted(map(tuple, scoring.top_k_by_dot(users, items, 4, seen, 16, 16).collect()))
+    small = view()
+    monkeypatch.setattr(scoring.V, "BROADCAST_BYTES", 0)
+    assert view() == small
+
+
 def test_more_items_wanted_than_exist(spark):
     users, items = table(spark, "user", [1], [[1.0]]), table(spark, "item", [5, 6], [[2.0], [3.0]])
     got = scoring.top_k_by_dot(users, items, 10).orderBy("rank").collect()
