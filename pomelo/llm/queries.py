@@ -34,3 +34,53 @@ def op4_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register
+def op3_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@register
+def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprints
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op1_tree_score_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@register
+def op6_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_join import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op8_zip_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .archive import archived
+    return archived(table(spark, sf_dir, "pages"))
+
+
+@register
+def op2_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, docs, table(spark, sf_dir, "labels"))
+
+
+@register
+def op9_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, docs, table(spark, sf_dir, "labels"))
