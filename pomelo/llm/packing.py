@@ -36,7 +36,7 @@ def difference(lengths: list[int], k: int) -> list[list[int]]:
     are empty. A node is an item or a pair of nodes, so a merge moves no lists of items.
     """
     if k == 1:
-        return [list(range(len(lengths)))]
+        return [list(range(len(lengths)))] if lengths else []
     nodes: list[tuple[int, int] | None] = [None] * len(lengths)
     heap = [(-n, i, [(n, i)]) for i, n in enumerate(lengths)]
     heapq.heapify(heap)
