@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--version", type=int, default=1)
     p.add_argument("--user-id")
     p.add_argument("--top-k", type=int, default=10)
-    p.add_argument("--trials", type=int, default=20)
+    p.add_argument("--trials", type=int, help="settings to try; all by default")
     p.add_argument("--epochs", type=int)
     p.add_argument("--lr", type=float)
     p.add_argument("--emb-dim", type=int)
@@ -70,7 +70,7 @@ def main(argv: list[str] | None = None) -> None:
             state = jobs.incremental(spark, args.model_dir, args.version, batch, cfg)
             print(f"version {state.version}: {state.users.count()} users, {state.items.count()} items")
         else:
-            jobs.tune(spark, args.model_dir, args.version, batch, cfg, args.trials).show(args.trials, False)
+            jobs.tune(spark, args.model_dir, args.version, batch, cfg, args.trials).show(args.trials or 100, False)
 
 
 if __name__ == "__main__":

@@ -48,7 +48,7 @@ class Train:
 @dataclass
 class Evaluation:
     k_list: tuple[int, ...] = (5, 10, 20)
-    max_users: int = 5000
+    max_users: int | None = None
     relevant_from: float = 3.0
     k_filter: bool = True
 
@@ -59,7 +59,7 @@ class Incremental:
     lr_scale: float = 0.1
     warmup_epochs: int = 2
     replay_ratio: float = 0.3
-    replay_capacity: int = 10_000
+    replay_capacity: int | None = None
     new_data_only: bool = False
 
 

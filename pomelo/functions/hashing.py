@@ -20,6 +20,13 @@ def hash32(seed: int | str, *keys: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def hash60(seed: int | str, *keys: Column | str) -> Column:
+    """Unsigned 60-bit number from the first 15 hex digits, for draws among very many."""
+    parts = [F.col(k) if isinstance(k, str) else k for k in keys]
+    text = F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def uniform(seed: int | str, *keys: Column | str) -> Column:
     """Number in [0, 1)."""
     return hash32(seed, *keys) / F.lit(float(SPAN))

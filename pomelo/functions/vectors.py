@@ -57,14 +57,17 @@ def pack(dim: int, prefix: str = "_d") -> Column:
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def fits(rows: int | None, dim: int) -> bool:
+    """Whether ``rows`` vectors are known to be below the broadcast limit."""
+    return rows is not None and rows * (dim + 2) * 8 <= BROADCAST_BYTES
+
+
 def small_side(vectors: DataFrame, rows: int | None, dim: int) -> DataFrame:
     """Broadcast hint for a vector table whose known size is small; else unchanged.
 
     ``rows`` comes from the id tables; beyond the limit, or if unknown, the join shuffles.
     """
-    if rows is not None and rows * (dim + 2) * 8 <= BROADCAST_BYTES:
-        return F.broadcast(vectors)
-    return vectors
+    return F.broadcast(vectors) if fits(rows, dim) else vectors
 
 
 def width(df: DataFrame) -> int:

@@ -127,18 +127,18 @@ def recommend(spark: SparkSession, out: str, version: int, config: Config, user_
 
 
 def incremental(spark: SparkSession, out: str, version: int, batch: DataFrame, config: Config) -> I.ModelState:
-    """Fold (review_id, user_id, item_id, rating) rows into a version and write the next one."""
+    """Fold (review_id, user_id, item_id, rating, date) rows into a version and write the next one."""
     state = I.ModelState.load(spark, f"{out}/v{version}", version)
     inc = config.incremental
     run = _trainer(config, inc.epochs, config.train.lr * inc.lr_scale, inc.warmup_epochs, 0)
-    new, _ = I.run_incremental(state, batch, config.model.emb_dim, ["review_id"], run, config.data.rating_threshold,
+    new, _ = I.run_incremental(state, batch, config.model.emb_dim, ["date", "review_id"], run, config.data.rating_threshold,
                                inc.new_data_only, inc.replay_ratio, inc.replay_capacity, config.seed)
     return I.ModelState.load(spark, new.save(out), new.version)
 
 
-def tune(spark: SparkSession, out: str, version: int, batch: DataFrame, config: Config, trials: int = 20,
-         alpha: float = 0.6) -> DataFrame:
-    """Score the first ``trials`` settings of the grid, in a seeded order, on new and old data.
+def tune(spark: SparkSession, out: str, version: int, batch: DataFrame, config: Config,
+         trials: int | None = None, alpha: float = 0.6) -> DataFrame:
+    """Score the settings of the grid, or ``trials`` of them in a seeded order, on new and old data.
 
     Every trial is a Spark job of its own; rows of unknown items are left out of scoring
     and unknown users count as user 0.
@@ -150,14 +150,14 @@ def tune(spark: SparkSession, out: str, version: int, batch: DataFrame, config:
     held = materialize(lenient.select("*", F.lit("new").alias("data")).unionByName(
         old.select("user_idx", "item_idx", "rating", F.lit("old").alias("data"))), "held")
     grid = report.trial_grid(spark)
-    chosen = split.sample_rows(grid, ["trial"], trials, config.seed).collect()
+    chosen = (grid if trials is None else split.sample_rows(grid, ["trial"], trials, config.seed)).collect()
     n_users, n_items = state.users.count(), state.items.count()
     metrics = None
+    buffer = materialize(I.first_buffer(state.interactions, ["date", "review_id"], config.incremental.replay_capacity), "buffer")
+    n_new = lenient.count()
     for row in chosen:
         run = _trainer(config, row["epochs"], config.train.lr * row["lr_scale"], config.incremental.warmup_epochs, 0)
-        buffer = I.append_replay(spark.createDataFrame([], "seq long, user_idx long, item_idx long, rating double"),
-                                 state.interactions, ["user_idx", "item_idx"], config.incremental.replay_capacity)
-        mix = I.mix_replay(lenient, buffer, lenient.count(), row["replay_ratio"], config.seed)
+        mix = I.mix_replay(lenient, buffer, n_new, row["replay_ratio"], config.seed)
         trained = run(state.vectors, state.interactions, mix, n_users, n_items)
         trial = I.ModelState(state.users, state.items, trained, state.interactions, state.replay)
         vectors = _final_vectors(trial, config)

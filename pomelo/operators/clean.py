@@ -18,7 +18,14 @@ def whole_rating(rating: Column | str) -> Column:
     return F.floor(F.coalesce(c, F.lit(0)))
 
 
-def rating_filter(df: DataFrame, threshold: int = 3, column: str = "rating") -> DataFrame:
+def rating_filter(df: DataFrame, threshold: float = 3, column: str = "rating") -> DataFrame:
+    """Rows whose whole rating reaches ``threshold``.
+
+    Against a whole number above 0 the plain column selects the same rows, and only that
+    comparison is pushed down to the scan.
+    """
+    if threshold > 0 and float(threshold).is_integer():
+        return df.filter(F.col(column) >= threshold)
     return df.filter(whole_rating(column) >= threshold)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vectors as V
-from ..functions.hashing import hash32, uniform, xavier_bound
+from ..functions.hashing import hash32, hash60, uniform, xavier_bound
 from ..functions.numeric import temporal_weight
 from ..session import materialize
 from .clean import rating_filter
@@ -120,14 +120,15 @@ def lightgcn(vectors: DataFrame, edges: DataFrame, dim: int, layers: int = 1,
     """Mean of layers 0..L of symmetric-normalised propagation.
 
     The source part of the norm is folded into the vectors and the destination part
-    into the sums, so edges carry no weights and no degrees are joined to them.
+    into the sums, so edges carry no weights and no degrees are joined to them. ``degree``
+    saves counting the degrees of edges that are propagated over again and again.
     """
-    deg = degrees(edges)
+    deg = degrees(edges) if degree is None else degree
     root = F.sqrt(F.greatest(F.coalesce(F.col("degree"), F.lit(1)), F.lit(1)).cast("double"))
     state = (vectors.join(deg, "node", "left")
              .select("node", root.alias("root"), F.col("v").alias("x"), F.col("v").alias("acc")))
-    if layers > 1:
-        state = materialize(state, "lightgcn")
+    # every layer reads the state twice: as messages and as the nodes that receive them
+    state = materialize(state, "lightgcn")
     for layer in range(layers):
         scaled = state.select("node", F.transform("x", lambda c: c / F.col("root")).alias("v"))
         incoming = sum_messages(edges, scaled, dim, weight=weight, n_nodes=n_nodes)
@@ -140,18 +141,18 @@ def lightgcn(vectors: DataFrame, edges: DataFrame, dim: int, layers: int = 1,
     return state.select("node", F.transform("acc", lambda c: c / F.lit(float(layers + 1))).alias("v"))
 
 
-def neighbour_mean(vectors: DataFrame, edges: DataFrame, dim: int) -> DataFrame:
+def neighbour_mean(vectors: DataFrame, edges: DataFrame, dim: int, n_nodes: int | None = None) -> DataFrame:
     """Mean source vector per destination node; nodes without incoming edges are absent."""
-    return sum_messages(edges, vectors, dim, how=F.avg)
+    return sum_messages(edges, vectors, dim, how=F.avg, n_nodes=n_nodes)
 
 
 def sage(vectors: DataFrame, edges: DataFrame, dim: int, weights: list[dict],
-         residual: bool = True) -> DataFrame:
+         residual: bool = True, n_nodes: int | None = None) -> DataFrame:
     """SAGE forward pass with given weights ``[{"neighbour", "self", "bias"}, ...]`` per layer."""
-    x = vectors
+    x = materialize(vectors.select("node", "v"), "sage")
     for i, layer in enumerate(weights):
         last = i == len(weights) - 1
-        base = x.join(neighbour_mean(x, edges, dim), "node", "left")
+        base = x.join(neighbour_mean(x, edges, dim, n_nodes), "node", "left")
         from_neighbours = V.matvec(layer["neighbour"], layer["bias"])
         from_self = V.matvec(layer["self"])
         h = base.select("node", "v", from_neighbours(F.coalesce(F.col("m"), V.zeros(dim))).alias("_n"),
@@ -183,8 +184,12 @@ def edge_softmax(scores: DataFrame, score: str = "e") -> DataFrame:
             .drop("_top", "_exp", "_sum"))
 
 
+def _over(vector: Column, number: Column) -> Column:
+    return F.transform(vector, lambda x: x / number)
+
+
 def gat(vectors: DataFrame, edges: DataFrame, dim: int, weights: list[dict],
-        residual: bool = True) -> DataFrame:
+        residual: bool = True, n_nodes: int | None = None) -> DataFrame:
     """GAT forward pass, heads averaged, with given weights per layer.
 
     ``weights[i]`` holds ``heads``: a list of {"matrix", "src", "dst"}, and ``bias``. Each
@@ -206,23 +211,25 @@ def gat(vectors: DataFrame, edges: DataFrame, dim: int, weights: list[dict],
         a_dst = [(np.asarray(h["dst"]) @ np.asarray(h["matrix"])).tolist() for h in heads]
         terms = materialize(x.select("node", "v", V.matvec(a_src)("v").alias("s"),
                                      V.matvec(a_dst)("v").alias("t")), "gat")
-        src = terms.select(F.col("node").alias("src"), "v", "s")
+        src = terms.select(F.col("node").alias("src"), "s")
         # leaky-relu is monotone: the largest edge score per node follows from the largest s
-        top = (links.join(src.select("src", "s"), "src").groupBy("dst")
+        top = (links.join(src, "src").groupBy("dst")
                .agg(*[F.max(F.col("s")[h]).alias(f"_top{h}") for h in range(n_heads)]))
         dst = (terms.select(F.col("node").alias("dst"), "t").join(top, "dst")
                .select("dst", "t", F.array(*[_leaky(F.col(f"_top{h}") + F.col("t")[h])
                                              for h in range(n_heads)]).alias("peak")))
-        scored = links.join(src, "src").join(dst, "dst").select(
-            "dst", "v", *[F.exp(_leaky(F.col("s")[h] + F.col("t")[h]) - F.col("peak")[h]).alias(f"_e{h}")
-                          for h in range(n_heads)])
-        sums = scored.groupBy("dst").agg(
-            *[F.sum(f"_e{h}").alias(f"_z{h}") for h in range(n_heads)],
-            *[F.sum(F.col(f"_e{h}") * F.col("v")[d]).alias(f"_h{h}_{d}")
-              for h in range(n_heads) for d in range(dim)])
+        # attention on narrow rows; vectors come in only where they are summed, head by head, so
+        # that an aggregate has dim columns and stays in generated code
+        scored = materialize(links.join(src, "src").join(dst, "dst").select(
+            "src", "dst", *[F.exp(_leaky(F.col("s")[h] + F.col("t")[h]) - F.col("peak")[h]).alias(f"_e{h}")
+                            for h in range(n_heads)]), "attention")
+        joined = scored.groupBy(F.col("dst").alias("node")).agg(*[F.sum(f"_e{h}").alias(f"_z{h}") for h in range(n_heads)])
+        for h in range(n_heads):
+            weighted = sum_messages(scored.select("src", "dst", F.col(f"_e{h}").alias("w")), terms.select("node", "v"), dim,
+                                    weight="w", n_nodes=n_nodes)
+            joined = joined.join(weighted.withColumnRenamed("m", f"_m{h}"), "node")
         # heads end to end: one matrix [W_1 .. W_H] / H finishes the layer
-        joined = sums.select(F.col("dst").alias("node"), F.array(
-            *[F.col(f"_h{h}_{d}") / F.col(f"_z{h}") for h in range(n_heads) for d in range(dim)]).alias("_a"))
+        joined = joined.select("node", F.concat(*[_over(F.col(f"_m{h}"), F.col(f"_z{h}")) for h in range(n_heads)]).alias("_a"))
         stacked = (np.hstack([np.asarray(h["matrix"]) for h in heads]) / n_heads).tolist()
         out = V.matvec(stacked, layer["bias"])("_a")
         h_out = joined.select("node", out.alias("h"))
@@ -275,7 +282,7 @@ def sample_negatives(pairs: DataFrame, positives: DataFrame, n_items: int, n_neg
     last draw is kept if all hit. First draws are tested in one join and written; only
     the few that hit go on, with all their redraws in one more join.
     """
-    draw = lambda r: F.pmod(hash32(seed, "user_idx", "item_idx", "slot", F.lit(r)), F.lit(n_items).cast("long"))
+    draw = lambda r: F.pmod(hash60(seed, "user_idx", "item_idx", "slot", F.lit(r)), F.lit(n_items).cast("long"))
     taken = (positives.select("user_idx", F.col("item_idx").alias("neg_idx")).distinct()
              .withColumn("_hit", F.lit(True)))
     dealt = V.dealt(pairs.select("user_idx", "item_idx"), "user_idx", "item_idx")

@@ -63,39 +63,49 @@ def order_cutoffs(df: DataFrame, keys: list[str], bucket: Column,
 
     ``keys`` are non-null columns forming a total order and ``bucket`` a coarse,
     non-decreasing function of the first one (day of a date, high bits of a hash).
-    A histogram over the buckets finds the bucket of each position; only that
-    bucket is ordered. The driver receives one row per position.
+    The keys are written once. A histogram over the buckets finds the bucket of each
+    position, and only these buckets are ordered, all in one job unless one is large.
+    The driver receives a row per position.
     """
-    hist = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    narrow = materialize(df.select(*keys, bucket.alias("_b")), "keys")
+    total = narrow.count()
+    wanted = [min(p, total) for p in positions(total)]
+    if not total:
+        return [None for _ in wanted]
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding,
-                                                  Window.unboundedFollowing)
-    hist = materialize(
-        hist.select("_b", "_n", F.sum("_n").over(upto).alias("_upto"),
-                    F.sum("_n").over(everything).alias("_total")),
-        "histogram",
-    )
-    first = hist.select("_total").first()
-    if first is None:
-        return [None for _ in positions(0)]
-    wanted = [min(p, first["_total"]) for p in positions(first["_total"])]
+    hist = narrow.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
     inside = F.lit(False)
     for p in wanted:
         inside = inside | ((F.col("_upto") >= p) & (F.col("_upto") - F.col("_n") < p))
     buckets = hist.filter(inside).collect()
+    ranks = {}
+    for p in wanted:
+        if p > 0:
+            home = next(b for b in buckets if b["_upto"] - b["_n"] < p <= b["_upto"])
+            ranks[p] = (home, p - (home["_upto"] - home["_n"]))
+    found: dict = {}
+    small = {r[0]["_b"] for r in ranks.values() if r[0]["_n"] <= SORT_LIMIT_ROWS}
+    if small:
+        here = F.row_number().over(Window.partitionBy("_b").orderBy(*keys))
+        at = F.lit(False)
+        for home, rank in ranks.values():
+            at = at | ((F.col("_b") == F.lit(home["_b"])) & (F.col("_rank") == rank))
+        rows = narrow.filter(F.col("_b").isin(*small)).withColumn("_rank", here).filter(at)
+        found = {(r["_b"], r["_rank"]): r for r in rows.collect()}
+    indexed: dict = {}
     out: list[Row | None] = []
     for p in wanted:
         if p <= 0:
             out.append(None)
             continue
-        home = next(b for b in buckets if b["_upto"] - b["_n"] < p <= b["_upto"])
-        rank = p - (home["_upto"] - home["_n"])
-        rows = df.filter(bucket == F.lit(home["_b"])).select(*keys)
-        if home["_n"] <= SORT_LIMIT_ROWS:
-            out.append(rows.orderBy(*keys).offset(rank - 1).limit(1).first())
+        home, rank = ranks[p]
+        if home["_b"] in small:
+            row = found[(home["_b"], rank)]
         else:
-            indexed = with_row_index(rows, keys)
-            out.append(indexed.filter(F.col("row_idx") == rank - 1).drop("row_idx").first())
+            if home["_b"] not in indexed:
+                indexed[home["_b"]] = with_row_index(narrow.filter(F.col("_b") == F.lit(home["_b"])), keys)
+            row = indexed[home["_b"]].filter(F.col("row_idx") == rank - 1).first()
+        out.append(Row(**{k: row[k] for k in keys}))
     return out
 
 

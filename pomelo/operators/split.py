@@ -59,8 +59,10 @@ def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataF
     return take_first(hashed, ["_hash", *keys], n, hash_bucket()).drop("_hash")
 
 
-def validation_size(n: int, share: float = 0.20, low: int = 10, high: int = 500) -> int:
-    return min(high, max(low, int(n * share)))
+def validation_size(n: int, share: float = 0.20, low: int = 0, high: int | None = None) -> int:
+    """``share`` of ``n`` rows, kept between the limits that are given."""
+    size = max(low, int(n * share))
+    return size if high is None else min(high, size)
 
 
 def shuffle_rows(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:

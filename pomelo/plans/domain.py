@@ -22,6 +22,9 @@ DIM = 64
 LAYERS = 1
 SEED = 42
 AS_OF = "2002-01-01"
+# Reviews from this day on, and all of a customer segment and a brand that joined then, are the batch
+# that comes after the history.
+BATCH_FROM, NEW_SEGMENT, NEW_BRAND = "2001-01-01", "MACHINERY", "Brand#25"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -50,6 +53,25 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
         F.to_date("l_shipdate").alias("date"))
 
 
+def with_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews, marked as part of the batch (``late``) or of the history."""
+    users = table(spark, sf, "customer").filter(F.col("c_mktsegment") == NEW_SEGMENT).select(
+        F.col("c_custkey").alias("user_id"), F.lit(True).alias("_u"))
+    items = table(spark, sf, "part").filter(F.col("p_brand") == NEW_BRAND).select(
+        F.col("p_partkey").alias("item_id"), F.lit(True).alias("_i"))
+    late = (F.col("date") >= F.lit(BATCH_FROM).cast("date")) | F.col("_u").isNotNull() | F.col("_i").isNotNull()
+    return reviews(spark, sf).join(users, "user_id", "left").join(items, "item_id", "left").select(
+        "review_id", "user_id", "item_id", "rating", "date", late.alias("late"))
+
+
+def history(spark: SparkSession, sf: str) -> DataFrame:
+    return with_late(spark, sf).filter("NOT late").drop("late")
+
+
+def batch(spark: SparkSession, sf: str) -> DataFrame:
+    return with_late(spark, sf).filter("late").drop("late")
+
+
 @dataclass(frozen=True)
 class Prepared:
     """Output folder of the preparation job, read back lazily."""
@@ -116,7 +138,8 @@ def prepare(spark: SparkSession, sf: str, folder: str) -> None:
         reviews(spark, sf), users(spark, sf), businesses(spark, sf), RATING_THRESHOLD)
     written = materialize(edges, "edges")
     split_edges = split.temporal_split(written, ["user_idx", "item_idx"])
-    edge_files.write_table(split_edges, f"{folder}/edges")
+    # a reader of one part of the split prunes the others
+    edge_files.write_table(split_edges, f"{folder}/edges", partition_by=("split",))
     edge_files.write_table(user_ids, f"{folder}/users")
     edge_files.write_table(item_ids, f"{folder}/item_ids")
     edge_files.write_table(edge_files.item_catalogue(businesses(spark, sf), item_ids), f"{folder}/items")

@@ -170,7 +170,7 @@ CLEAN_TEXT = "regexp_replace(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ',
 
 
 @query("pubmed_xml_records", "S10 F3 F6", f"""SELECT CAST(doc_id AS VARCHAR) AS pmid, '10.1/'||doc_id AS doi, 'Report & review '||doc_id AS title,
-  md5(substring('BODY: '||trim({CLEAN_TEXT}, ' ')||' End.', 1, 2000)) AS abstract_md5, CASE WHEN doc_id%3 = 0 THEN 'Solo' ELSE 'Doe, J'||doc_id END AS authors,
+  md5('BODY: '||trim({CLEAN_TEXT}, ' ')||' End.') AS abstract_md5, CASE WHEN doc_id%3 = 0 THEN 'Solo' ELSE 'Doe, J'||doc_id END AS authors,
   'Journal of '||source AS journal, lang AS keywords,
   CASE WHEN doc_id%5 = 0 THEN '' ELSE '2021-'||lpad(CAST(doc_id%12+1 AS VARCHAR), 2, '0')||'-'||lpad(CAST(doc_id%28+1 AS VARCHAR), 2, '0') END AS published_at FROM documents""")
 def pubmed_xml_records(spark, sf):
@@ -191,7 +191,7 @@ def _arxiv_xml(spark, sf):
 ARXIV_TEXT = "trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\f\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g'), ' ')"
 
 
-@query("arxiv_xml_records", "S11 F2 F3 F5", f"""SELECT 'cs_'||doc_id||'v1' AS arxiv_id, '10.2/'||doc_id AS doi, 'A study '||doc_id AS title, md5(substring({ARXIV_TEXT}, 1, 2000)) AS abstract_md5,
+@query("arxiv_xml_records", "S11 F2 F3 F5", f"""SELECT 'cs_'||doc_id||'v1' AS arxiv_id, '10.2/'||doc_id AS doi, 'A study '||doc_id AS title, md5({ARXIV_TEXT}) AS abstract_md5,
   'Ann;Bob '||lang AS authors, 'cs.'||source||';math' AS categories, 'cs.'||source AS primary_category, '' AS journal_ref,
   'http://example.org/pdf/'||doc_id AS pdf_url, '2022-03-04' AS published_at FROM documents""")
 def arxiv_xml_records(spark, sf):

@@ -96,7 +96,8 @@ def message_passing(spark, sf):
 SELECT graph.dst AS node, d, {S.r6('avg(x)')} AS x FROM graph JOIN start ON src = node GROUP BY graph.dst, d""")
 def neighbour_mean(spark, sf):
     p = D.prepared(spark, sf)
-    return _components(graph.neighbour_mean(p.start_vectors(), p.graph(), D.DIM).withColumnRenamed("m", "v"), "node")
+    means = graph.neighbour_mean(p.start_vectors(), p.graph(), D.DIM, sum(p.sizes()))
+    return _components(means.withColumnRenamed("m", "v"), "node")
 
 
 @query("lightgcn_one_layer", "G4", f"WITH {S.VECTORS} SELECT node, d, {S.r6('x')} AS x FROM final")
@@ -119,7 +120,7 @@ def _matrix_sql(name: str, seed: str, rows: int, cols: int) -> str:
 
 
 @query("sage_forward", "G5", f"""WITH {S.GRAPH}, {S.start_vectors()},
-m AS (SELECT graph.dst AS node, d, avg(x) AS x FROM graph JOIN start ON src = node GROUP BY graph.dst, d),
+m AS MATERIALIZED (SELECT graph.dst AS node, d, avg(x) AS x FROM graph JOIN start ON src = node GROUP BY graph.dst, d),
 {_matrix_sql('wl', 'sage-neighbour', D.DIM, D.DIM)}, {_matrix_sql('wr', 'sage-self', D.DIM, D.DIM)},
 l AS (SELECT node, r AS d, sum(w*x) AS x FROM m JOIN wl ON c = d GROUP BY node, r),
 s AS (SELECT node, r AS d, sum(w*x) AS x FROM start JOIN wr ON c = d GROUP BY node, r)
@@ -128,20 +129,20 @@ def sage_forward(spark, sf):
     p = D.prepared(spark, sf)
     layer = {"neighbour": xavier_matrix(D.DIM, D.DIM, "sage-neighbour"),
              "self": xavier_matrix(D.DIM, D.DIM, "sage-self"), "bias": [0.01] * D.DIM}
-    return _components(graph.sage(p.start_vectors(), p.graph(), D.DIM, [layer]), "node")
+    return _components(graph.sage(p.start_vectors(), p.graph(), D.DIM, [layer], n_nodes=sum(p.sizes())), "node")
 
 
-GAT_DIM, GAT_HEADS = 16, 4
+GAT_DIM, GAT_HEADS = D.DIM, 4
 
 
 def _gat_sql() -> str:
     heads = []
     for i in range(GAT_HEADS):
         heads.append(f"""{_matrix_sql(f'w{i}', f'gat-w{i}', GAT_DIM, GAT_DIM)}, {_matrix_sql(f'p{i}', f'gat-s{i}', 1, GAT_DIM)}, {_matrix_sql(f'q{i}', f'gat-t{i}', 1, GAT_DIM)},
-z{i} AS (SELECT node, r AS d, sum(w*x) AS z FROM start JOIN w{i} ON c = d GROUP BY node, r),
+z{i} AS MATERIALIZED (SELECT node, r AS d, sum(w*x) AS z FROM start JOIN w{i} ON c = d GROUP BY node, r),
 t{i} AS (SELECT node, sum(z*p.w) AS s, sum(z*q.w) AS t FROM z{i} JOIN p{i} p ON p.c = d JOIN q{i} q ON q.c = d GROUP BY node),
 e{i} AS (SELECT src, dst, CASE WHEN a.s+b.t > 0 THEN a.s+b.t ELSE (a.s+b.t)*0.2::DOUBLE END AS e FROM links JOIN t{i} a ON a.node = src JOIN t{i} b ON b.node = dst),
-a{i} AS (SELECT src, dst, exp(e-max(e) OVER (PARTITION BY dst)) AS w FROM e{i}),
+a{i} AS MATERIALIZED (SELECT src, dst, exp(e-max(e) OVER (PARTITION BY dst)) AS w FROM e{i}),
 o{i} AS (SELECT dst AS node, d, sum(a.w*z.z)/sum(a.w) AS x FROM a{i} a JOIN z{i} z ON z.node = src GROUP BY dst, d)""")
     total = "+".join(f"o{i}.x" for i in range(GAT_HEADS))
     joins = " ".join(f"JOIN o{i} ON o{i}.node = st.node AND o{i}.d = st.d" for i in range(GAT_HEADS))
@@ -156,7 +157,7 @@ def gat_forward(spark, sf):
     heads = [{"matrix": xavier_matrix(GAT_DIM, GAT_DIM, f"gat-w{i}"), "src": xavier_matrix(1, GAT_DIM, f"gat-s{i}")[0],
               "dst": xavier_matrix(1, GAT_DIM, f"gat-t{i}")[0]} for i in range(GAT_HEADS)]
     layer = {"heads": heads, "bias": [0.01] * GAT_DIM}
-    return _components(graph.gat(p.start_vectors(GAT_DIM), p.graph(), GAT_DIM, [layer]), "node")
+    return _components(graph.gat(p.start_vectors(GAT_DIM), p.graph(), GAT_DIM, [layer], n_nodes=sum(p.sizes())), "node")
 
 
 @query("edge_softmax", "W6", f"""WITH {S.GRAPH}, e AS (SELECT src, dst, sin(CAST(src*7+dst AS DOUBLE)) AS e FROM graph)
@@ -188,18 +189,20 @@ def neighbour_sampling(spark, sf):
     return graph.sample_neighbours(p.graph(), seeds)
 
 
-def _draw_sql(r: int) -> str:
-    return f"{S.h(42, 'user_idx', 'item_idx', 'slot', str(r))} % ni"
-
-
-NEGATIVES = f"""pos AS (SELECT user_idx, item_idx FROM edges WHERE split = 'train'),
+def _negatives(seed=42) -> str:
+    draw = lambda r: f"{S.h60(seed, 'user_idx', 'item_idx', 'slot', str(r))} % ni"
+    draws = ' UNION ALL '.join(f'SELECT user_idx, item_idx, slot, {r} AS round, {draw(r)} AS neg_idx FROM slots' for r in range(6))
+    return f"""pos AS (SELECT user_idx, item_idx FROM edges WHERE split = 'train'),
 slots AS (SELECT user_idx, item_idx, CAST(slot AS INTEGER) AS slot, ni FROM pos, range(10) s(slot), size),
-draws AS ({' UNION ALL '.join(f'SELECT user_idx, item_idx, slot, {r} AS round, {_draw_sql(r)} AS neg_idx FROM slots' for r in range(6))}),
+draws AS ({draws}),
 tested AS (SELECT d.*, p.user_idx IS NOT NULL AS hit FROM draws d LEFT JOIN pos p ON p.user_idx = d.user_idx AND p.item_idx = d.neg_idx),
-negatives AS (SELECT user_idx, item_idx, slot, CASE WHEN bool_or(NOT hit) THEN arg_min(neg_idx, round) FILTER (WHERE NOT hit)
+negatives AS MATERIALIZED (SELECT user_idx, item_idx, slot, CASE WHEN bool_or(NOT hit) THEN arg_min(neg_idx, round) FILTER (WHERE NOT hit)
   ELSE arg_max(neg_idx, round) END AS neg_idx FROM tested GROUP BY user_idx, item_idx, slot)"""
 
 
+NEGATIVES = _negatives()
+
+
 @query("negative_sampling", "G9", f"WITH {S.PREPARED}, {NEGATIVES} SELECT user_idx, item_idx, slot, neg_idx FROM negatives")
 def negative_sampling(spark, sf):
     p = D.prepared(spark, sf)
@@ -207,18 +210,28 @@ def negative_sampling(spark, sf):
     return graph.sample_negatives(pos, pos, p.sizes()[1])
 
 
-BPR = f"""{S.VECTORS}, {NEGATIVES},
+def _bpr(seed=42) -> str:
+    return f"""{S.VECTORS}, {_negatives(seed)},
 t AS (SELECT u.v AS u, i.v AS i, j.v AS j, n.user_idx, n.item_idx, n.neg_idx, list_inner_product(u.v, i.v)-list_inner_product(u.v, j.v) AS gap FROM negatives n
   JOIN uvec u ON u."user" = user_idx JOIN ivec i ON i.item = item_idx JOIN ivec j ON j.item = neg_idx)"""
 
 
+# gradient per node and component, summed over the triples
+GRADIENT = """c AS (SELECT *, 1.0::DOUBLE/(1.0::DOUBLE+exp(gap)) AS p FROM t),
+x AS (SELECT user_idx, item_idx, neg_idx, p, unnest(u) AS u, unnest(i) AS i, unnest(j) AS j, unnest(range(64)) AS d FROM c),
+g AS (SELECT user_idx AS node, d, sum((j-i)*p + 2e-5::DOUBLE*u) AS g FROM x GROUP BY 1, 2
+  UNION ALL SELECT item_idx + nu, d, sum(2e-5::DOUBLE*i - u*p) FROM x, size GROUP BY 1, 2
+  UNION ALL SELECT neg_idx + nu, d, sum(u*p + 2e-5::DOUBLE*j) FROM x, size GROUP BY 1, 2),
+grad AS MATERIALIZED (SELECT node, d, sum(g) AS x FROM g GROUP BY node, d)"""
+
+
 def _triples(spark, sf):
     p = D.prepared(spark, sf)
     pos = p.part("train").select(F.col("user").alias("user_idx"), F.col("item").alias("item_idx"))
     return p, graph.sample_negatives(pos, pos, p.sizes()[1])
 
 
-@query("bpr_loss", "G8 F16", f"""WITH {BPR}, s AS (SELECT avg(-(least(gap,0.0::DOUBLE)-ln(1.0::DOUBLE+exp(-abs(gap))))) AS ranking,
+@query("bpr_loss", "G8 F16", f"""WITH {_bpr()}, s AS (SELECT avg(-(least(gap,0.0::DOUBLE)-ln(1.0::DOUBLE+exp(-abs(gap))))) AS ranking,
   avg(list_inner_product(u,u)+list_inner_product(i,i)+list_inner_product(j,j))*1e-5::DOUBLE AS penalty, count(*) AS n FROM t)
 SELECT {S.r6('ranking')} AS ranking, {S.r6('penalty*1e6')} AS penalty_micro, {S.r6('ranking+penalty')} AS loss, n AS n_triples FROM s""")
 def bpr_loss(spark, sf):
@@ -228,12 +241,7 @@ def bpr_loss(spark, sf):
                       N.r6("loss").alias("loss"), "n_triples")
 
 
-@query("bpr_gradient", "G10", f"""WITH {BPR}, c AS (SELECT *, 1.0::DOUBLE/(1.0::DOUBLE+exp(gap)) AS p FROM t),
-x AS (SELECT user_idx, item_idx, neg_idx, p, unnest(u) AS u, unnest(i) AS i, unnest(j) AS j, unnest(range(64)) AS d FROM c),
-g AS (SELECT user_idx AS node, d, sum((j-i)*p + 2e-5::DOUBLE*u) AS g FROM x GROUP BY 1, 2
-  UNION ALL SELECT item_idx + nu, d, sum(2e-5::DOUBLE*i - u*p) FROM x, size GROUP BY 1, 2
-  UNION ALL SELECT neg_idx + nu, d, sum(u*p + 2e-5::DOUBLE*j) FROM x, size GROUP BY 1, 2)
-SELECT node, d, {S.r6('sum(g)')} AS x FROM g GROUP BY node, d""")
+@query("bpr_gradient", "G10", f"""WITH {_bpr()}, {GRADIENT} SELECT node, d, {S.r6('x')} AS x FROM grad""")
 def bpr_gradient(spark, sf):
     p, triples = _triples(spark, sf)
     n_users, _ = p.sizes()
@@ -241,16 +249,20 @@ def bpr_gradient(spark, sf):
     return _components(g.withColumnRenamed("g", "v"), "node")
 
 
-@query("bpr_training", "G10", None)
+@query("bpr_training", "G10", f"""WITH {_bpr('42-1')}, {GRADIENT},
+mean AS (SELECT s.node, s.d, coalesce(g.x, 0.0)/(SELECT count(*) FROM t) AS x FROM start s LEFT JOIN grad g ON g.node = s.node AND g.d = s.d),
+{S.propagate('mean', 'spread')},
+back AS MATERIALIZED (SELECT a.node, a.d, (a.x+b.x)/2.0::DOUBLE AS x FROM mean a JOIN spread b ON a.node = b.node AND a.d = b.d),
+cut AS (SELECT least(1.0::DOUBLE, 1.0::DOUBLE/(sqrt(sum(x*x))+1e-6::DOUBLE)) AS f FROM back)
+SELECT s.node, s.d, {S.r6('s.x-0.0005::DOUBLE*(b.x*f)/(abs(b.x*f)+1e-8::DOUBLE)')} AS x FROM start s JOIN back b ON b.node = s.node AND b.d = s.d, cut""")
 def bpr_training(spark, sf):
+    """One whole epoch at full width: propagation, sampling, gradient, its propagation and an Adam step."""
     p = D.prepared(spark, sf)
     n_users, n_items = p.sizes()
     pos = p.part("train").select(F.col("user").alias("user_idx"), F.col("item").alias("item_idx"))
     links = p.train_edges().select(F.col("user_id").alias("src"), F.col("item_id").alias("dst"))
-    vectors, losses = training.train_bpr(p.start_vectors(16), pos, links, n_users, n_items, 16, epochs=2, warmup=1,
-                                         n_neg=2)
-    shown = F.map_from_arrays(F.array(*[F.lit(i + 1) for i in range(len(losses))]), F.array(*[F.lit(x) for x in losses]))
-    return vectors.agg(F.count(F.lit(1)).alias("n_nodes"), F.avg(V.l2_norm("v")).alias("mean_norm")).withColumn("losses", shown)
+    vectors, _ = training.train_bpr(p.start_vectors(), pos, links, n_users, n_items, D.DIM, epochs=1)
+    return _components(vectors, "node")
 
 
 @query("als_training", "G10", None)
@@ -258,20 +270,11 @@ def als_training(spark, sf):
     p = D.prepared(spark, sf)
     n_users, _ = p.sizes()
     pos = p.part("train").withColumnsRenamed({"user": "user_idx", "item": "item_idx"})
-    vectors = training.train_als(pos, n_users, rank=16, iterations=3)
+    vectors = training.train_als(pos, n_users)
     return vectors.groupBy((F.col("node") < n_users).alias("is_user")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(V.l2_norm("v")).alias("mean_norm"))
 
 
-@query("lr_schedule", "G11", f"""WITH n AS (SELECT least(200, 20 + count(DISTINCT CAST(ts AS DATE))) AS epochs FROM events), e AS (SELECT unnest(range(1, epochs+1)) AS epoch, epochs FROM n)
-SELECT epoch, floor((CASE WHEN epoch <= 10 THEN 0.005::DOUBLE*epoch/10.0::DOUBLE
-  ELSE 0.00005::DOUBLE+(0.005::DOUBLE-0.00005::DOUBLE)/2.0::DOUBLE*(1.0::DOUBLE+cos(pi()*(epoch-11)/CAST(epochs-10 AS DOUBLE))) END)*1e9+0.5::DOUBLE)/1e9 AS lr FROM e""")
-def lr_schedule(spark, sf):
-    days = D.table(spark, sf, "events").select(F.to_date("ts")).distinct().count()
-    s = training.lr_schedule(spark, epochs=min(200, 20 + days))
-    return s.select("epoch", (F.floor(F.col("lr") * 1e9 + 0.5) / 1e9).alias("lr"))
-
-
 @query("text_vectors", "G14", None)
 def text_vectors(spark, sf):
     items = content.hashed_text_vectors(D.businesses(spark, sf), "categories", 768)
@@ -301,7 +304,7 @@ def known_user_top_k(spark, sf):
 
 
 @query("enriched_recommendations", "M8 J7 F3", f"""WITH {S.VECTORS}, {S.PARTS}, {S.top_k(5)}
-SELECT "user", rank, CAST(item_id AS VARCHAR) AS business_id, trim(name, ' ') AS name, substring(categories, 1, 120) AS categories, {S.even('score', 4)} AS score
+SELECT "user", rank, CAST(item_id AS VARCHAR) AS business_id, trim(name, ' ') AS name, categories, {S.even('score', 4)} AS score
 FROM ranked JOIN item_ids ON item_idx = item JOIN items USING (item_id)""")
 def enriched_recommendations(spark, sf):
     p = D.prepared(spark, sf)
@@ -407,8 +410,11 @@ def popularity_baseline(spark, sf):
     return _rounded(baselines.popularity_metrics(p.part("train"), p.part("test"), KS, D.RELEVANT_FROM))
 
 
-RANDOM = f"""ranked AS (SELECT "user", ({S.h('start42', '"user"')} % ni + rank*list_extract({list(baselines.STEPS)}::BIGINT[], {S.h('step42', '"user"')} % 8 + 1)) % ni AS item, rank
-  FROM (SELECT DISTINCT "user" FROM test_part), range(1, 21) r(rank), size WHERE rank <= ni)"""
+RANDOM = f"""drawn_items AS (SELECT "user", i, CASE WHEN i < {20 + baselines.SPARE_DRAWS} THEN {S.h60('random42', '"user"', 'i')} % ni
+    ELSE ({S.h60('random42', '"user"', '0')} + i - {19 + baselines.SPARE_DRAWS}) % ni END AS item, ni
+  FROM (SELECT DISTINCT "user" FROM test_part), range({40 + baselines.SPARE_DRAWS}) r(i), size WHERE i < {20 + baselines.SPARE_DRAWS} + least(20, ni)),
+ranked AS (SELECT "user", item, rank FROM (SELECT "user", item, any_value(ni) AS ni, row_number() OVER (PARTITION BY "user" ORDER BY min(i)) AS rank
+  FROM drawn_items GROUP BY "user", item) WHERE rank <= least(20, ni))"""
 
 
 @query("random_baseline", "M6", f"WITH {S.PREPARED}, {S.PARTS}, {RANDOM}, {S.user_metrics()} {S.mean_metrics()}")
@@ -448,23 +454,9 @@ def normalized_metrics(spark, sf):
     return evaluate.normalize_metrics(model, rand, test, KS, D.RELEVANT_FROM)
 
 
-@query("popularity_lift", "M7 F22", f"""WITH {S.PREPARED}, {S.PARTS}, {IDEAL}, {POPULAR}, {S.user_metrics()},
-pop AS (SELECT k, avg("P") AS "P", avg("R") AS "R", avg("HR") AS "HR", avg("NDCG") AS "NDCG", avg("MRR") AS "MRR", avg("AP") AS "MAP" FROM per_user GROUP BY k),
-longp AS (UNPIVOT pop ON "P","R","HR","NDCG","MRR","MAP" INTO NAME metric VALUE value),
-j AS (SELECT l.k, l.metric, l.value, l.value/4.0::DOUBLE AS baseline, CASE l.metric WHEN 'P' THEN i."P" WHEN 'R' THEN i."R" ELSE 1.0 END AS ideal FROM longp l JOIN ideal i USING (k))
-SELECT k, metric, {S.even('value*100.0::DOUBLE', 4)} AS pct, CASE WHEN baseline > 1e-9 THEN {S.even('value/baseline', 3)} END AS lift,
-  CASE WHEN ideal-baseline > 1e-9 THEN {S.even('(value-baseline)/(ideal-baseline)*100.0::DOUBLE', 2)} END AS norm FROM j""")
-def popularity_lift(spark, sf):
-    p = D.prepared(spark, sf)
-    test = p.part("test")
-    model = materialize(baselines.popularity_metrics(p.part("train"), test, KS, D.RELEVANT_FROM), "metrics")
-    weak = model.select("k", *[(F.col(m) / 4.0).alias(m) for m in ("P", "R", "HR", "NDCG", "MRR", "MAP")])
-    return evaluate.normalize_metrics(model, weak, test, KS, D.RELEVANT_FROM)
-
-
 @query("score_evaluation", "M4 A21 A22 F15", f"""WITH {S.VECTORS}, {S.PARTS},
 k AS (SELECT rating, 1.0::DOUBLE/(1.0::DOUBLE+exp(-list_inner_product(u.v, i.v))) AS s FROM test_part JOIN uvec u USING ("user") JOIN ivec i USING (item)),
-neg AS (SELECT {S.h('u42', 'id')} % nu AS "user", {S.h('i42', 'id')} % ni AS item FROM range(20000) r(id), size WHERE id < (SELECT count(*) FROM test_part)),
+neg AS (SELECT {S.h60('u42', 'id')} % nu AS "user", {S.h60('i42', 'id')} % ni AS item FROM (SELECT unnest(range((SELECT count(*) FROM test_part))) AS id), size),
 f AS (SELECT count(*) AS n FROM neg JOIN uvec u USING ("user") JOIN ivec i USING (item) WHERE 1.0::DOUBLE/(1.0::DOUBLE+exp(-list_inner_product(u.v, i.v))) >= 0.5)
 SELECT {S.r6('sqrt(avg(pow(4.0::DOUBLE*s+1.0::DOUBLE-rating, 2)))')} AS rmse, {S.r6('avg(abs(4.0::DOUBLE*s+1.0::DOUBLE-rating))')} AS mae,
   {S.r6('avg(CASE WHEN (rating >= 4.0) = (s >= 0.5) THEN 1.0::DOUBLE ELSE 0.0 END)')} AS accuracy,
@@ -477,10 +469,26 @@ def score_evaluation(spark, sf):
 
 
 @query("metric_sanity", "M16", f"""WITH {S.PREPARED}, {S.PARTS}, {POPULAR}, {S.user_metrics()},
-m AS (SELECT k, avg("P")+CASE WHEN k = 10 THEN 1.0 ELSE 0.0 END AS "P", avg("HR") AS "HR" FROM per_user GROUP BY k)
-SELECT k, 'P<=HR' AS law FROM m WHERE "P" > "HR"+1e-9""")
+m AS (SELECT k, avg("P") AS "P", avg("R") AS "R", avg("NDCG") AS "NDCG", avg("HR") AS "HR", count(*) AS n FROM per_user GROUP BY k),
+broken AS (SELECT 'none' AS spoilt, k, "P", "R", "NDCG", "HR", n, 1.0 AS rmse, 0.5 AS mae FROM m
+  UNION ALL SELECT 'P', k, "P"+1.0/k, "R", "NDCG", "HR"/1e6, n, 1.0, 0.5 FROM m UNION ALL SELECT 'R', k, "P", "R"+1.0, "NDCG", "HR", n, 1.0, 0.5 FROM m
+  UNION ALL SELECT 'NDCG', k, "P", "R", "NDCG"+1.0, "HR", n, 1.0, 0.5 FROM m UNION ALL SELECT 'hits', k, "P"+0.3/(k*n), "R", "NDCG", "HR"+1.0, n, 1.0, 0.5 FROM m
+  UNION ALL SELECT 'errors', k, "P", "R", "NDCG", "HR", n, 0.5, 1.0 FROM m),
+laws AS (SELECT spoilt, k, 'P<=HR' AS law, "P" > "HR"+1e-9 AS bad FROM broken UNION ALL SELECT spoilt, k, 'R<=HR', "R" > "HR"+1e-9 FROM broken
+  UNION ALL SELECT spoilt, k, 'NDCG<=HR', "NDCG" > "HR"+1e-9 FROM broken
+  UNION ALL SELECT spoilt, k, 'P*K*n integer', abs("P"*k*n - round("P"*k*n)) > 1e-6 FROM broken UNION ALL SELECT spoilt, k, 'RMSE>=MAE', mae > rmse+1e-9 FROM broken)
+SELECT spoilt, k, law FROM laws WHERE bad""")
 def metric_sanity(spark, sf):
+    """The laws on the metrics of the popularity baseline: as they are, and with one value spoilt for each law."""
     p = D.prepared(spark, sf)
-    table = baselines.popularity_metrics(p.part("train"), p.part("test"), KS, D.RELEVANT_FROM)
-    spoiled = table.withColumn("P", F.col("P") + F.when(F.col("k") == 10, 1.0).otherwise(0.0))
-    return evaluate.sanity_violations(spoiled).select("k", "law")
+    table = materialize(baselines.popularity_metrics(p.part("train"), p.part("test"), KS, D.RELEVANT_FROM), "metrics")
+    fine = table.select("k", "P", "R", "NDCG", "HR", "n_eval_users", F.lit(1.0).alias("rmse"), F.lit(0.5).alias("mae"))
+    c = F.col
+    spoilt = {"none": {}, "P": {"P": c("P") + 1.0 / c("k"), "HR": c("HR") / 1e6}, "R": {"R": c("R") + 1.0},
+              "NDCG": {"NDCG": c("NDCG") + 1.0}, "hits": {"P": c("P") + 0.3 / (c("k") * c("n_eval_users")), "HR": c("HR") + 1.0},
+              "errors": {"rmse": F.lit(0.5), "mae": F.lit(1.0)}}
+    rows = None
+    for name, change in spoilt.items():
+        part = fine.withColumns(change).withColumn("spoilt", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    return evaluate.sanity_violations(rows).select("spoilt", "k", "law")

@@ -13,17 +13,6 @@ from ..session import materialize
 from . import domain as D, sqltext as S
 from .registry import query
 
-CUT = "DATE '1999-01-01'"
-
-
-def _before(df, day):
-    return df.filter(F.col("date") < F.lit(day).cast("date"))
-
-
-def _since(df, day):
-    return df.filter(F.col("date") >= F.lit(day).cast("date"))
-
-
 # ---------------------------------------------------------------- ids
 
 @query("frequency_ids", "E1", f"""WITH {S.REVIEWS} SELECT item_id, n_rows, row_number() OVER (ORDER BY n_rows DESC, item_id)-1 AS item_idx
@@ -37,33 +26,30 @@ def alphabetical_ids(spark, sf):
     return encode.dense_ids(D.users(spark, sf), "name", "name_idx")
 
 
-OLD_NEW = f"""{S.REVIEWS},
-old_ids AS (SELECT item_id, row_number() OVER (ORDER BY item_id)-1 AS item_idx FROM (SELECT DISTINCT item_id FROM reviews WHERE date < DATE '1995-03-01')),
-fresh AS (SELECT DISTINCT item_id FROM reviews WHERE date >= DATE '1995-03-01' AND item_id NOT IN (SELECT item_id FROM old_ids)),
+OLD_NEW = f"""{S.HISTORY},
+old_ids AS (SELECT item_id, row_number() OVER (ORDER BY item_id)-1 AS item_idx FROM (SELECT DISTINCT item_id FROM past)),
+fresh AS (SELECT DISTINCT item_id FROM batch WHERE item_id NOT IN (SELECT item_id FROM old_ids)),
 all_ids AS (SELECT * FROM old_ids UNION ALL SELECT item_id, row_number() OVER (ORDER BY item_id)-1+(SELECT count(*) FROM old_ids) FROM fresh)"""
 
 
 @query("extended_ids", "E3 I1", f"WITH {OLD_NEW} SELECT item_id, item_idx FROM all_ids")
 def extended_ids(spark, sf):
-    reviews = D.reviews(spark, sf)
-    old = materialize(encode.dense_ids(_before(reviews, "1995-03-01"), "item_id", "item_idx"), "old_ids")
-    return encode.extend_ids(old, _since(reviews, "1995-03-01"), "item_id", "item_idx")
+    old = materialize(encode.dense_ids(D.history(spark, sf), "item_id", "item_idx"), "old_ids")
+    return encode.extend_ids(old, D.batch(spark, sf), "item_id", "item_idx")
 
 
 @query("encoded_known_rows", "E4", f"WITH {OLD_NEW} SELECT review_id, item_idx FROM reviews JOIN old_ids USING (item_id)")
 def encoded_known_rows(spark, sf):
-    reviews = D.reviews(spark, sf)
-    old = encode.dense_ids(_before(reviews, "1995-03-01"), "item_id", "item_idx")
-    return encode.transform_ids(reviews, old, "item_id", "item_idx", "skip").select("review_id", "item_idx")
+    old = encode.dense_ids(D.history(spark, sf), "item_id", "item_idx")
+    return encode.transform_ids(D.reviews(spark, sf), old, "item_id", "item_idx", "skip").select("review_id", "item_idx")
 
 
 @query("lenient_encoding", "E7", f"""WITH {OLD_NEW},
-old_users AS (SELECT user_id, row_number() OVER (ORDER BY user_id)-1 AS user_idx FROM (SELECT DISTINCT user_id FROM reviews WHERE date < DATE '1995-03-01'))
+old_users AS (SELECT user_id, row_number() OVER (ORDER BY user_id)-1 AS user_idx FROM (SELECT DISTINCT user_id FROM past))
 SELECT review_id, coalesce(user_idx, 0) AS user_idx, item_idx FROM reviews JOIN old_ids USING (item_id) LEFT JOIN old_users USING (user_id)""")
 def lenient_encoding(spark, sf):
-    reviews = D.reviews(spark, sf)
-    past = _before(reviews, "1995-03-01")
-    return encode.lenient_encode(reviews, encode.dense_ids(past, "user_id", "user_idx"),
+    past = D.history(spark, sf)
+    return encode.lenient_encode(D.reviews(spark, sf), encode.dense_ids(past, "user_id", "user_idx"),
                                  encode.dense_ids(past, "item_id", "item_idx")).select("review_id", "user_idx", "item_idx")
 
 
@@ -126,8 +112,8 @@ SELECT size_tag, count(*) AS n_reviews, count(DISTINCT user_id) AS n_users, coun
   strftime(max(date), '%Y-%m-%d') AS last_day FROM o, sizes WHERE rn <= lim GROUP BY size_tag""")
 def sized_subsets(spark, sf):
     out = None
-    for tag, n in subset.SIZES.items():
-        part, users, items = subset.sized_dataset(D.reviews(spark, sf), D.users(spark, sf), D.businesses(spark, sf), n)
+    datasets = subset.sized_datasets(D.reviews(spark, sf), D.users(spark, sf), D.businesses(spark, sf))
+    for tag, (part, users, items) in datasets.items():
         count = lambda df: df.select(F.count(F.lit(1))).scalar()
         row = part.agg(F.count(F.lit(1)).alias("n_reviews"), F.date_format(F.max("date"), "yyyy-MM-dd").alias("last_day")) \
             .select(F.lit(tag).alias("size_tag"), "n_reviews", count(users).alias("n_users"),
@@ -161,20 +147,13 @@ def sample_without_replacement(spark, sf):
 
 @query("validation_sample", "T9", f"""WITH {S.PREPARED}, t AS (SELECT * FROM edges WHERE split = 'train')
 SELECT user_idx, item_idx FROM t ORDER BY {S.h(42, 'user_idx', 'item_idx')}, user_idx, item_idx
-LIMIT (SELECT least(500, greatest(10, CAST(floor(count(*)*0.2::DOUBLE) AS BIGINT))) FROM t)""")
+LIMIT (SELECT CAST(floor(count(*)*0.2::DOUBLE) AS BIGINT) FROM t)""")
 def validation_sample(spark, sf):
     train = D.prepared(spark, sf).part("train").withColumnsRenamed({"user": "user_idx", "item": "item_idx"})
     n = split.validation_size(train.count())
     return split.sample_rows(train, ["user_idx", "item_idx"], n).select("user_idx", "item_idx")
 
 
-@query("strided_shards", "T10", f"""WITH {S.REVIEWS}, o AS (SELECT review_id, row_number() OVER (ORDER BY date, review_id)-1 AS i FROM reviews)
-SELECT review_id, i AS row_idx, i%4 AS shard FROM o""")
-def strided_shards(spark, sf):
-    indexed = with_row_index(D.reviews(spark, sf).select("date", "review_id"), ["date", "review_id"])
-    return subset.strided_shard(indexed, 4).select("review_id", "row_idx", "shard")
-
-
 # ---------------------------------------------------------------- statistics
 
 @query("split_counts", "A1", f"WITH {S.PREPARED} SELECT split, count(*) AS n FROM edges GROUP BY split")
@@ -202,7 +181,7 @@ def rating_distribution(spark, sf):
     return stats.rating_distribution(D.reviews(spark, sf))
 
 
-@query("quality_report", "A14", f"""WITH {S.REVIEWS}, past AS (SELECT * FROM reviews WHERE date < DATE '1995-03-01'),
+@query("quality_report", "A14", f"""WITH {S.HISTORY},
 u AS (SELECT count(*) AS n FROM reviews GROUP BY user_id), i AS (SELECT count(*) AS n FROM reviews GROUP BY item_id)
 SELECT count(*) AS n_rows, (SELECT count(*) FROM u) AS n_users, (SELECT count(*) FROM i) AS n_items,
   {S.r6('1.0::DOUBLE-count(*)/CAST((SELECT count(*) FROM u)*(SELECT count(*) FROM i) AS DOUBLE)')} AS sparsity,
@@ -213,9 +192,8 @@ SELECT count(*) AS n_rows, (SELECT count(*) FROM u) AS n_users, (SELECT count(*)
   count(*) FILTER (WHERE user_id NOT IN (SELECT user_id FROM past)) AS new_user_rows,
   count(*) FILTER (WHERE item_id NOT IN (SELECT item_id FROM past)) AS new_item_rows FROM reviews""")
 def quality_report(spark, sf):
-    reviews = D.reviews(spark, sf)
-    past = _before(reviews, "1995-03-01")
-    r = stats.quality_report(reviews, past, past)
+    past = D.history(spark, sf)
+    r = stats.quality_report(D.reviews(spark, sf), past, past)
     doubles = [f for f, t in r.dtypes if t == "double"]
     return r.select(*[N.r6(c).alias(c) if c in doubles else F.col(c) for c in r.columns])
 
@@ -245,18 +223,15 @@ def most_active_users(spark, sf):
     return stats.most_active(D.reviews(spark, sf))
 
 
-@query("overlap_count", "U6", f"""WITH {S.REVIEWS} SELECT count(*) AS n_common FROM (SELECT user_id FROM reviews WHERE date < DATE '1995-03-01'
-INTERSECT SELECT user_id FROM reviews WHERE date >= DATE '2001-06-01')""")
+@query("overlap_count", "U6", f"""WITH {S.HISTORY} SELECT count(*) AS n_common FROM (SELECT user_id FROM past INTERSECT SELECT user_id FROM batch)""")
 def overlap_count(spark, sf):
-    reviews = D.reviews(spark, sf)
-    return stats.overlap_count(_before(reviews, "1995-03-01"), _since(reviews, "2001-06-01"), "user_id")
+    return stats.overlap_count(D.history(spark, sf), D.batch(spark, sf), "user_id")
 
 
-@query("upload_profile", "A19", f"""WITH {S.REVIEWS}, past AS (SELECT * FROM reviews WHERE date < DATE '1995-03-01'), up AS (SELECT * FROM reviews WHERE date >= DATE '2001-01-01')
+@query("upload_profile", "A19", f"""WITH {S.HISTORY}
 SELECT count(*) AS reviews, count(DISTINCT user_id) AS users,
   count(DISTINCT user_id) FILTER (WHERE user_id NOT IN (SELECT user_id FROM past)) AS new_users, count(DISTINCT item_id) AS items,
-  count(DISTINCT item_id) FILTER (WHERE item_id NOT IN (SELECT item_id FROM past)) AS new_items FROM up""")
+  count(DISTINCT item_id) FILTER (WHERE item_id NOT IN (SELECT item_id FROM past)) AS new_items FROM batch""")
 def upload_profile(spark, sf):
-    reviews = D.reviews(spark, sf)
-    past = _before(reviews, "1995-03-01")
-    return stats.upload_profile(_since(reviews, "2001-01-01"), past, past)
+    past = D.history(spark, sf)
+    return stats.upload_profile(D.batch(spark, sf), past, past)

@@ -127,15 +127,22 @@ def trial_ranking(spark, sf):
     return ranked.select("trial", "epochs", "lr_scale", "replay_ratio", N.r6("score").alias("score"))
 
 
-@query("early_stopping", "W9", None)
+@query("early_stopping", "W9", """WITH RECURSIVE log AS (SELECT user_id AS run, CAST(floor((epoch(ts)-epoch(TIMESTAMP '2024-01-01'))/3600) AS BIGINT)+1 AS epoch, avg(value) AS score FROM events GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM log),
+fold AS (SELECT run, i, score AS best, epoch AS best_epoch, 0 AS waited, CAST(NULL AS BIGINT) AS stop_epoch FROM o WHERE i = 1
+  UNION ALL SELECT o.run, o.i, CASE WHEN o.score > f.best+1e-5::DOUBLE THEN o.score ELSE f.best END,
+    CASE WHEN o.score > f.best+1e-5::DOUBLE THEN o.epoch ELSE f.best_epoch END, CASE WHEN o.score > f.best+1e-5::DOUBLE THEN 0 ELSE f.waited+1 END,
+    CASE WHEN NOT o.score > f.best+1e-5::DOUBLE AND f.waited+1 >= 5 THEN o.epoch END
+  FROM fold f JOIN o ON o.run = f.run AND o.i = f.i+1 WHERE f.stop_epoch IS NULL)
+SELECT run, floor(best*1e6+0.5::DOUBLE)/1e6 AS best_score, best_epoch, stop_epoch FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY i DESC) AS last FROM fold) WHERE last = 1""")
 def early_stopping(spark, sf):
-    # one validation score per run and hour: an hour is the epoch, capped by the training length
+    # one validation score per run and hour: an hour is the epoch
     e = D.table(spark, sf, "events")
     start = F.lit("2024-01-01").cast("timestamp_ntz")
     hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(start.cast("timestamp"))) / 3600)
-    log = (e.select(F.col("user_id").alias("run"), (hour + 1).alias("epoch"), "value").filter(F.col("epoch") <= 200)
+    log = (e.select(F.col("user_id").alias("run"), (hour + 1).alias("epoch"), "value")
            .groupBy("run", "epoch").agg(F.avg("value").alias("score")))
-    return training.early_stopping(log, patience=5)
+    return training.early_stopping(log, patience=5).withColumn("best_score", N.r6("best_score"))
 
 
 def _metric_files(spark, sf):

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from .domain import AS_OF, DIM, RATING_THRESHOLD, RELEVANT_FROM, SEED
+from .domain import AS_OF, BATCH_FROM, DIM, NEW_BRAND, NEW_SEGMENT, RATING_THRESHOLD, RELEVANT_FROM, SEED
 
 
 def h(seed, *cols: str) -> str:
     return f"CAST(('0x'||substr(md5(concat_ws('|',{','.join(cols)},'{seed}')),1,8)) AS BIGINT)"
 
 
+def h60(seed, *cols: str) -> str:
+    return f"CAST(('0x'||substr(md5(concat_ws('|',{','.join(cols)},'{seed}')),1,15)) AS BIGINT)"
+
+
 def u(seed, *cols: str) -> str:
     return f"({h(seed, *cols)}/4294967296.0::DOUBLE)"
 
@@ -33,6 +37,11 @@ REVIEWS = """reviews AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partk
   o_custkey AS user_id, l_partkey AS item_id, CAST(floor((l_quantity-1)/10)+1 AS INTEGER) AS rating,
   CAST(l_shipdate AS DATE) AS date FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
+_LATE = (f"(date >= DATE '{BATCH_FROM}' OR user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = '{NEW_SEGMENT}') "
+         f"OR item_id IN (SELECT p_partkey FROM part WHERE p_brand = '{NEW_BRAND}'))")
+# past and batch: the two parts of reviews
+HISTORY = f"""{REVIEWS}, past AS (SELECT * FROM reviews WHERE NOT {_LATE}), batch AS (SELECT * FROM reviews WHERE {_LATE})"""
+
 # known users and items, rating threshold, last review per pair
 PAIRS = f"""{REVIEWS}, {USERS}, {ITEMS},
 kept AS (SELECT * FROM reviews WHERE user_id IN (SELECT user_id FROM users)
@@ -46,27 +55,27 @@ item_ids AS (SELECT item_id, row_number() OVER (ORDER BY item_id)-1 AS item_idx
 numbered AS (SELECT user_idx, item_idx, rating, date, review_id,
   row_number() OVER (ORDER BY date, user_idx, item_idx) AS rn, count(*) OVER () AS n
   FROM pairs JOIN user_ids USING (user_id) JOIN item_ids USING (item_id)),
-edges AS (SELECT user_idx, item_idx, rating, date, review_id, CASE
+edges AS MATERIALIZED (SELECT user_idx, item_idx, rating, date, review_id, CASE
   WHEN rn <= floor(n*0.7::DOUBLE) THEN 'train'
   WHEN rn <= floor(n*(0.7::DOUBLE+0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM numbered),
 size AS (SELECT (SELECT count(*) FROM user_ids) AS nu, (SELECT count(*) FROM item_ids) AS ni)"""
 
 GRAPH = f"""{PREPARED},
 train AS (SELECT user_idx AS user_id, item_idx + nu AS item_id, rating, date FROM edges, size WHERE split = 'train'),
-graph AS (SELECT user_id AS src, item_id AS dst FROM train UNION ALL SELECT item_id, user_id FROM train),
+graph AS MATERIALIZED (SELECT user_id AS src, item_id AS dst FROM train UNION ALL SELECT item_id, user_id FROM train),
 degree AS (SELECT dst AS node, count(*) AS degree FROM graph GROUP BY dst)"""
 
 
 def start_vectors(dim: int = DIM, seed: int = SEED) -> str:
     """nodes and start(node, d, x)."""
     return f"""nodes AS (SELECT user_idx AS node FROM user_ids UNION ALL SELECT item_idx + nu FROM item_ids, size),
-start AS (SELECT node, d, ({u(seed, 'node', 'd')}*2.0::DOUBLE-1.0::DOUBLE)*sqrt(6.0::DOUBLE/((nu+ni)+{dim})) AS x
+start AS MATERIALIZED (SELECT node, d, ({u(seed, 'node', 'd')}*2.0::DOUBLE-1.0::DOUBLE)*sqrt(6.0::DOUBLE/((nu+ni)+{dim})) AS x
   FROM nodes, range({dim}) AS r(d), size)"""
 
 
 def propagate(source: str, target: str) -> str:
     """One layer of symmetric-normalised propagation over (node, d, x)."""
-    return f"""{target} AS (SELECT s.node, s.d, coalesce(m.x, 0.0)/sqrt(CAST(coalesce(g.degree,1) AS DOUBLE)) AS x
+    return f"""{target} AS MATERIALIZED (SELECT s.node, s.d, coalesce(m.x, 0.0)/sqrt(CAST(coalesce(g.degree,1) AS DOUBLE)) AS x
   FROM {source} s LEFT JOIN (SELECT graph.dst AS node, v.d, sum(v.x/sqrt(CAST(coalesce(dg.degree,1) AS DOUBLE))) AS x
     FROM graph JOIN {source} v ON graph.src = v.node LEFT JOIN degree dg ON dg.node = graph.src
     GROUP BY graph.dst, v.d) m ON s.node = m.node AND s.d = m.d LEFT JOIN degree g ON g.node = s.node)"""

@@ -98,16 +98,15 @@ def prepared_meta(spark, sf):
 
 
 @query("csv_to_parquet", "S17 S18 T3", f"""WITH {S.REVIEWS}, {S.USERS}, {S.ITEMS},
-sizes(size_tag, lim) AS (VALUES ('1k', 1000), ('10k', 10000)),
+sizes(size_tag, lim) AS (VALUES ('1k',1000),('5k',5000),('10k',10000),('50k',50000),('100k',100000),('full',1000000000000)),
 ordered AS (SELECT *, row_number() OVER (ORDER BY date, review_id) AS rn FROM reviews)
 SELECT size_tag, count(*) AS n_reviews, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_businesses
 FROM ordered, sizes WHERE rn <= lim GROUP BY size_tag""")
 def csv_to_parquet(spark, sf):
     root = fresh_path(spark, "sizes")
-    tags = ["1k", "10k"]
-    for tag in tags:
-        r, u, b = subset.sized_dataset(D.reviews(spark, sf), D.users(spark, sf), D.businesses(spark, sf),
-                                       subset.SIZES[tag])
+    tags = list(subset.SIZES)
+    datasets = subset.sized_datasets(D.reviews(spark, sf), D.users(spark, sf), D.businesses(spark, sf))
+    for tag, (r, u, b) in datasets.items():
         review_files.write_dataset(b, u, r, f"{root}/csv/{tag}")
     folders = review_files.csv_to_parquet(spark, f"{root}/csv", f"{root}/parquet", tags)
     out = None
@@ -197,23 +196,20 @@ def known_users_and_items(spark, sf):
     return kept.groupBy("rating").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("referenced_entities", "J4", f"""WITH {S.REVIEWS}, late AS (SELECT * FROM reviews WHERE date >= DATE '2001-01-01')
-SELECT 'user' AS kind, c_custkey AS id FROM customer WHERE c_custkey IN (SELECT user_id FROM late)
-UNION ALL SELECT 'item', p_partkey FROM part WHERE p_partkey IN (SELECT item_id FROM late)""")
+@query("referenced_entities", "J4", f"""WITH {S.HISTORY}
+SELECT 'user' AS kind, c_custkey AS id FROM customer WHERE c_custkey IN (SELECT user_id FROM past)
+UNION ALL SELECT 'item', p_partkey FROM part WHERE p_partkey IN (SELECT item_id FROM past)""")
 def referenced_entities(spark, sf):
-    late = D.reviews(spark, sf).filter(F.col("date") >= F.lit("2001-01-01").cast("date"))
+    late = D.history(spark, sf)
     users = clean.referenced_by(D.users(spark, sf), late, "user_id")
     items = clean.referenced_by(D.businesses(spark, sf), late, "item_id")
     return users.select(F.lit("user").alias("kind"), F.col("user_id").alias("id")).unionByName(
         items.select(F.lit("item").alias("kind"), F.col("item_id").alias("id")))
 
 
-@query("unseen_entities", "J5", f"""WITH {S.REVIEWS} SELECT DISTINCT user_id FROM reviews
-WHERE date >= DATE '2001-01-01' AND user_id NOT IN (SELECT user_id FROM reviews WHERE date < DATE '1996-01-01')""")
+@query("unseen_entities", "J5", f"""WITH {S.HISTORY} SELECT DISTINCT user_id FROM batch WHERE user_id NOT IN (SELECT user_id FROM past)""")
 def unseen_entities(spark, sf):
-    reviews = D.reviews(spark, sf)
-    old = reviews.filter(F.col("date") < F.lit("1996-01-01").cast("date"))
-    late = reviews.filter(F.col("date") >= F.lit("2001-01-01").cast("date"))
+    old, late = D.history(spark, sf), D.batch(spark, sf)
     return clean.unknown_only(clean.keys_of(late, "user_id"), clean.keys_of(old, "user_id"), "user_id")
 
 

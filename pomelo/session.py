@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +21,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
-_LOCAL_DIRS: dict[str, str] = {}
-
 
 def build_session(app_name: str = "pomelo", master: str | None = None,
                   conf: dict[str, str] | None = None) -> SparkSession:
@@ -35,20 +33,11 @@ def build_session(app_name: str = "pomelo", master: str | None = None,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the session names it.
-
-    A local session without the setting (tests) gets a folder of its own; a
-    cluster without it is an error, since a machine-local folder would be lost
-    with its machine.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        if context.applicationId not in _LOCAL_DIRS:
-            _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="pomelo-")
-        return _LOCAL_DIRS[context.applicationId]
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the session's warehouse."""
+    for setting in ("spark.checkpoint.dir", "spark.sql.warehouse.dir"):
+        configured = spark.conf.get(setting, None)
+        if configured:
+            return configured.rstrip("/")
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
@@ -59,30 +48,36 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 class TemporaryTables:
     """Tables written by :func:`materialize` inside a ``with`` block are deleted at its end,
-    unless kept. For loops whose every round replaces the tables of the last one."""
-
-    _open: list["TemporaryTables"] = []
+    unless kept. For jobs, and for loops whose every round replaces the tables of the last one.
+    Blocks nest; each thread has its own."""
 
     def __init__(self, spark: SparkSession) -> None:
         self._spark, self._paths = spark, []
 
     def __enter__(self) -> "TemporaryTables":
-        TemporaryTables._open.append(self)
+        self._token = _OPEN.set((*_OPEN.get(), self))
         return self
 
     def keep(self, df: DataFrame) -> str:
-        """Take a table out of the deletion and return its path."""
+        """Take the table written last out of the deletion and return its path; an enclosing block
+        deletes it."""
         path = self._paths.pop()
         if path not in df.inputFiles()[0]:
             raise ValueError("keep() takes the table written last")
+        outer = _OPEN.get()[:-1]
+        if outer:
+            outer[-1]._paths.append(path)
         return path
 
     def __exit__(self, *_error) -> None:
-        TemporaryTables._open.remove(self)
+        _OPEN.reset(self._token)
         for path in self._paths:
             delete_table(self._spark, path)
 
 
+_OPEN: ContextVar[tuple[TemporaryTables, ...]] = ContextVar("open_temporary_tables", default=())
+
+
 def delete_table(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table below the shared folder."""
     if not path.startswith(f"{shared_dir(spark)}/pomelo/"):
@@ -104,6 +99,6 @@ def materialize(df: DataFrame, label: str = "table",
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    if TemporaryTables._open:
-        TemporaryTables._open[-1]._paths.append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1]._paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

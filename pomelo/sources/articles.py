@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import padded_date, squeeze, truncate
 
-ABSTRACT_LENGTH = 2000
-
 _DATE = "struct<Year:string,Month:string,Day:string>"
 PUBMED_ELEMENT = (
     "MedlineCitation struct<PMID:struct<_VALUE:string,_Version:string>,"
@@ -36,8 +34,13 @@ def _list(c: Column) -> Column:
     return F.coalesce(c, F.array().cast("array<string>"))
 
 
-def pubmed_records(elements: DataFrame, ingested_at: Column | None = None) -> DataFrame:
-    """Records of parsed ``PubmedArticle`` elements."""
+def _cut(text: Column, length: int | None) -> Column:
+    return text if length is None else truncate(text, length)
+
+
+def pubmed_records(elements: DataFrame, ingested_at: Column | None = None,
+                   abstract_length: int | None = None) -> DataFrame:
+    """Records of parsed ``PubmedArticle`` elements; ``abstract_length`` cuts abstracts."""
     a, m = "MedlineCitation.Article", "MedlineCitation"
     part = lambda p: F.concat(
         F.when(_or_empty(p["_Label"]) != "", F.concat(p["_Label"], F.lit(": "))).otherwise(""),
@@ -58,13 +61,14 @@ def pubmed_records(elements: DataFrame, ingested_at: Column | None = None) -> Da
     return elements.select(
         F.lit("pubmed").alias("source"), _or_empty(F.col(f"{m}.PMID._VALUE")).alias("pmid"),
         _or_empty(doi).alias("doi"), F.trim(_or_empty(F.col(f"{a}.ArticleTitle"))).alias("title"),
-        truncate(abstract, ABSTRACT_LENGTH).alias("abstract"), _list(authors).alias("authors"),
+        _cut(abstract, abstract_length).alias("abstract"), _list(authors).alias("authors"),
         _or_empty(F.col(f"{a}.Journal.Title")).alias("journal"), _list(keywords).alias("keywords"),
         published.alias("published_at"), (ingested_at if ingested_at is not None else now).alias("ingested_at"))
 
 
-def arxiv_records(elements: DataFrame, ingested_at: Column | None = None) -> DataFrame:
-    """Records of parsed Atom ``entry`` elements."""
+def arxiv_records(elements: DataFrame, ingested_at: Column | None = None,
+                  abstract_length: int | None = None) -> DataFrame:
+    """Records of parsed Atom ``entry`` elements; ``abstract_length`` cuts abstracts."""
     raw = _or_empty(F.col("id"))
     arxiv_id = F.when(raw.contains("/abs/"), F.replace(F.substring_index(raw, "/abs/", -1), F.lit("/"), F.lit("_"))) \
                 .otherwise(raw)
@@ -74,7 +78,7 @@ def arxiv_records(elements: DataFrame, ingested_at: Column | None = None) -> Dat
     return elements.select(
         F.lit("arxiv").alias("source"), arxiv_id.alias("arxiv_id"), _or_empty(F.col("doi")).alias("doi"),
         squeeze(_or_empty(F.col("title"))).alias("title"),
-        truncate(squeeze(_or_empty(F.col("summary"))), ABSTRACT_LENGTH).alias("abstract"),
+        _cut(squeeze(_or_empty(F.col("summary"))), abstract_length).alias("abstract"),
         _list(F.transform("author", lambda p: _or_empty(p["name"]))).alias("authors"),
         categories.alias("categories"),
         _or_empty(F.try_element_at(categories, F.lit(1))).alias("primary_category"),

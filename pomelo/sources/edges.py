@@ -16,9 +16,10 @@ META_SCHEMA = T.StructType([
 ])
 
 
-def write_table(df: DataFrame, path: str, files: int | None = None) -> None:
+def write_table(df: DataFrame, path: str, files: int | None = None, partition_by: tuple[str, ...] = ()) -> None:
     """Overwrite a parquet folder; ``files`` bounds the file count for small tables."""
-    (df if files is None else df.coalesce(files)).write.mode("overwrite").parquet(path)
+    writer = (df if files is None else df.coalesce(files)).write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def item_catalogue(businesses: DataFrame, item_ids: DataFrame) -> DataFrame:

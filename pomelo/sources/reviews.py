@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.subset import first_reviews
 
@@ -10,7 +10,7 @@ from ..operators.subset import first_reviews
 BUSINESS_COLUMNS = ("business_id", "name", "categories", "city", "state", "stars", "review_count")
 REVIEW_COLUMNS = ("review_id", "user_id", "business_id", "stars", "date")
 USER_COLUMNS = ("user_id", "name", "review_count", "average_stars")
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
 
 
 def number(text: Column | str) -> Column:
@@ -24,22 +24,34 @@ def whole(text: Column | str) -> Column:
     return number(text).try_cast("int")
 
 
-def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A CSV with a header, every column as text.
+
+    The schema is the header line, which is all that is read to plan. Large files are split
+    over tasks; ``multi_line`` is for files with line breaks inside quotes, which can't be.
+    """
+    options = CSV_OPTIONS | {"multiLine": str(multi_line).lower()}
+    header = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return spark.read.options(**options).schema(schema).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...], multi_line: bool = False) -> DataFrame:
     """Known columns of a CSV with a header, all as text."""
-    df = spark.read.options(**CSV_OPTIONS).csv(path)
+    df = read_text_csv(spark, path, multi_line)
     return df.select(*[c for c in columns if c in df.columns])
 
 
-def read_businesses(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, BUSINESS_COLUMNS)
+def read_businesses(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return read_csv(spark, path, BUSINESS_COLUMNS, multi_line)
 
 
-def read_users(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, USER_COLUMNS)
+def read_users(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return read_csv(spark, path, USER_COLUMNS, multi_line)
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    df = read_csv(spark, path, REVIEW_COLUMNS).withColumnRenamed("stars", "rating")
+def read_reviews(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    df = read_csv(spark, path, REVIEW_COLUMNS, multi_line).withColumnRenamed("stars", "rating")
     return df.withColumn("rating", whole("rating"))
 
 
@@ -66,9 +78,11 @@ def catalogue(df: DataFrame) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, businesses: str, users: str, reviews: str,
-                max_users: int = 0, max_reviews: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+                max_users: int = 0, max_reviews: int = 0,
+                multi_line: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables; 0 means no cap. Caps keep the first users by id and the oldest reviews."""
-    b, u, r = read_businesses(spark, businesses), read_users(spark, users), read_reviews(spark, reviews)
+    b, u, r = (read(spark, path, multi_line) for read, path in (
+        (read_businesses, businesses), (read_users, users), (read_reviews, reviews)))
     if max_users:
         u = u.orderBy("user_id").limit(max_users)
     return b, u, first_reviews(r, max_reviews)
@@ -83,12 +97,13 @@ def write_dataset(businesses: DataFrame, users: DataFrame, reviews: DataFrame, f
         write_csv(df, f"{folder}/{name}")
 
 
-def csv_to_parquet(spark: SparkSession, source: str, target: str, sizes: list[str]) -> dict[str, str]:
+def csv_to_parquet(spark: SparkSession, source: str, target: str, sizes: list[str],
+                   multi_line: bool = False) -> dict[str, str]:
     """Convert the review, user and business CSVs of every size; returns the new folders."""
     out = {}
     for size in sizes:
         for name in ("business", "user", "review"):
-            (spark.read.options(**CSV_OPTIONS).csv(f"{source}/{size}/{name}")
+            (read_text_csv(spark, f"{source}/{size}/{name}", multi_line)
              .write.mode("overwrite").parquet(f"{target}/{size}/{name}"))
         out[size] = f"{target}/{size}"
     return out

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -65,7 +66,8 @@ def main(argv: list[str]) -> int:
     sf = argv[0] if argv else "/root/testdata/sf0.01"
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pomelo-oracle-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, failed = duck(sf), entry.oracle_sql(), 0
     for name, run in entry.queries().items():

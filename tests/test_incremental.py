@@ -42,6 +42,21 @@ def test_replay_sizes_and_capacity(spark):
     assert I.sample_replay(first, 3).count() == 3 and I.sample_replay(first, 99).count() == 5
 
 
+def test_kept_rows_grow_with_the_input(spark):
+    cols = "user_idx long, item_idx long, rating double"
+    empty = spark.createDataFrame([], "seq long, user_idx long, item_idx long, rating double")
+    rows = lambda n: spark.range(n).selectExpr("id % 300 AS user_idx", "id AS item_idx", "4.0D AS rating")
+    sizes = []
+    for n in (12_000, 24_000):
+        buffer = I.append_replay(empty, rows(n), ["item_idx"])
+        sizes.append((buffer.count(), I.first_buffer(rows(n), ["item_idx"]).count(),
+                      I.mix_replay(rows(n), buffer, n).filter("origin = 'replay'").count()))
+    assert sizes == [(12_000, 12_000, 5_142), (24_000, 24_000, 10_285)]
+    some = I.first_buffer(rows(12_000), ["date"], 3_000)
+    users = {r["user_idx"] for r in some.collect()}
+    assert some.count() == 3_000 and len(users) > 290  # a fair sample, not the largest ids
+
+
 def test_versions_keep_recent_and_best(spark):
     m = spark.createDataFrame([(v, s) for v, s in enumerate([0.1, 0.9, 0.2, 0.9, 0.3, 0.4])], "version long, val_score double")
     assert {r["version"]: r["reason"] for r in I.retained_versions(m).collect()} == {
@@ -65,9 +80,10 @@ def test_whole_round_and_reload(spark, tmp_path):
     rows = {r["node"]: r["v"] for r in new.vectors.collect()}
     assert rows[0] == old_rows[0] and rows[3] == old_rows[2]
     assert mix.filter("origin = 'new'").count() == 3 and mix.filter("origin = 'replay'").count() == 1
+    assert new.replay.count() == 2 + 3  # the rows of the first version stay in the buffer
     folder = new.save(str(tmp_path))
     back = I.ModelState.load(spark, folder, 1)
-    assert back.replay.count() == 3 and back.users.exceptAll(new.users).count() == 0
+    assert back.replay.count() == 5 and back.users.exceptAll(new.users).count() == 0
 
 
 def test_repeated_stream_batch_gives_the_same_tables(spark, tmp_path):

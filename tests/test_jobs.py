@@ -43,10 +43,12 @@ def test_scratch_evaluate_recommend_update(spark, dataset, tmp_path):
     items = {r["item_id"] for r in kept.filter(F.col("user_idx") == ids).join(spark.read.parquet(f"{out}/v1/items"), "item_idx").collect()}
     assert not seen & items
     assert jobs.recommend(spark, out, 1, cfg, "nobody", 4).count() == 0
-    batch = spark.createDataFrame([("x1", "new", "b01", 5), ("x2", "u03", "fresh", 4)],
-                                  "review_id string, user_id string, item_id string, rating int")
+    batch = spark.createDataFrame([("x1", "new", "b01", 5, "2020-02-01"), ("x2", "u03", "fresh", 4, "2020-02-03"), ("x3", "u03", "fresh", 5, "2020-02-02")],
+                                  "review_id string, user_id string, item_id string, rating int, date string")
     state = jobs.incremental(spark, out, 1, batch, cfg)
     assert state.version == 2 and state.users.count() == 25 and state.items.count() == 21
+    fresh = state.items.filter("item_id = 'fresh'").first()["item_idx"]
+    assert state.interactions.filter(F.col("item_idx") == fresh).first()["rating"] == 4.0  # the newest by date
     ranked = jobs.tune(spark, out, 1, batch, cfg, trials=1)
     assert ranked.count() == 1 and 0 <= ranked.first()["score"] <= 1
 

@@ -77,7 +77,8 @@ def test_sampling_large_n_equals_sort(spark, monkeypatch):
 
 
 def test_validation_size():
-    assert [split.validation_size(n) for n in (3, 100, 1_000, 10_000)] == [10, 20, 200, 500]
+    assert [split.validation_size(n) for n in (3, 100, 1_000, 10_000)] == [0, 20, 200, 2_000]
+    assert [split.validation_size(n, low=10, high=500) for n in (3, 100, 1_000, 10_000)] == [10, 20, 200, 500]
 
 
 def test_stratified_sample_keeps_one_per_user(spark):
@@ -88,11 +89,9 @@ def test_stratified_sample_keeps_one_per_user(spark):
     assert {r["user_id"] for r in subset.stratified_sample(df, 20).collect()} == set(range(20))
 
 
-def test_newest_rows_and_shards(spark):
+def test_newest_rows(spark):
     df = spark.range(100).withColumnRenamed("id", "seq")
     assert sorted(r["seq"] for r in subset.newest_rows(df, "seq", 7).collect()) == list(range(93, 100))
-    shards = subset.strided_shard(df.withColumnRenamed("seq", "row_idx"), 4)
-    assert {r["row_idx"]: r["shard"] for r in shards.collect()}[10] == 2
 
 
 def test_encoder_keeps_known_ids(spark):

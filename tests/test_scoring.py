@@ -93,7 +93,8 @@ def test_enrichment_defaults(spark):
     info = spark.createDataFrame([("b0", " Clinic ", "x" * 200), ("b0", "Zed", "y")],
                                  "item_id string, name string, categories string")
     rows = {r["rank"]: r for r in recommend.enrich(recs, ids, info).collect()}
-    assert rows[1]["name"] == "Clinic" and len(rows[1]["categories"]) == 120
+    assert rows[1]["name"] == "Clinic" and len(rows[1]["categories"]) == 200
+    assert {len(r["categories"]) for r in recommend.enrich(recs, ids, info, 120).collect()} == {120, 3}
     assert rows[1]["score"] == pytest.approx(0.1234)  # half to even
     assert (rows[2]["name"], rows[2]["categories"], rows[3]["business_id"]) == ("b1", "N/A", "item_9")
 
