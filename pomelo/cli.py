@@ -6,16 +6,22 @@ import argparse
 
 from . import config as settings, jobs
 from .session import build_session
+from .sources import kafka
 
-MODES = ("scratch", "evaluate", "incremental", "tune", "recommend")
+MODES = ("prepare", "scratch", "evaluate", "incremental", "tune", "recommend", "stream")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pomelo")
     p.add_argument("mode", choices=MODES)
-    p.add_argument("--model-dir", required=True, help="folder of the model versions")
+    p.add_argument("--model-dir", required=True, help="folder of the model versions, or of the prepared data or stream")
     p.add_argument("--data-dir", help="folder with business, user and review CSVs (scratch) or new reviews")
     p.add_argument("--config", help="YAML file")
+    p.add_argument("--size-tag", default="full", help="name of the prepared dataset")
+    p.add_argument("--stream", choices=jobs.STREAMS, default="unified")
+    p.add_argument("--servers", help="Kafka servers of a stream")
+    p.add_argument("--records-dir", help="parquet files of records in place of Kafka")
+    p.add_argument("--once", action="store_true", help="take what a stream has and stop")
     p.add_argument("--version", type=int, default=1)
     p.add_argument("--user-id")
     p.add_argument("--top-k", type=int, default=10)
@@ -56,7 +62,13 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     cfg = settings.load(args.config, overrides(args))
     spark = build_session(f"pomelo-{args.mode}", args.master)
-    if args.mode == "scratch":
+    if args.mode == "prepare":
+        jobs.prepare(spark, args.data_dir, args.model_dir, cfg, args.size_tag).show(truncate=False)
+    elif args.mode == "stream":
+        records = (kafka.read_files(spark, args.records_dir) if args.records_dir
+                   else kafka.read_kafka(spark, args.servers))
+        jobs.stream(spark, args.stream, records, args.model_dir, args.once).awaitTermination()
+    elif args.mode == "scratch":
         jobs.grade_table(jobs.scratch(spark, args.data_dir, args.model_dir, cfg)).show(truncate=False)
     elif args.mode == "evaluate":
         for name, table in jobs.evaluate(spark, args.model_dir, args.version, cfg).items():

@@ -12,24 +12,23 @@ class Data:
     rating_threshold: int = 3
     split_seed: int = 1
     temporal: bool = False
+    domain_filter: bool = True
     max_users: int = 0
     max_reviews: int = 0
 
 
 @dataclass
 class Graph:
-    time_decay_days: float = 365.0
     k_neighbors: int = 5
     item_item_edges: bool = False
-    fan_out: tuple[int, ...] = (15, 10)
+    text_start: bool = True
+    text_features: int = 768
 
 
 @dataclass
 class Model:
     emb_dim: int = 64
     n_layers: int = 1
-    heads: int = 4
-    residual: bool = True
 
 
 @dataclass

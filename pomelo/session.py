@@ -86,6 +86,11 @@ def delete_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def materialize(df: DataFrame, label: str = "table",
                 partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.

@@ -21,6 +21,21 @@ RUN_RECORD = (
 RUN_NAME = r"(gat|sage|lightgcn)_w(\d+)_([^/]+)"
 
 
+def write_metrics(spark: SparkSession, folder: str, run: str, scores: dict, rankings: dict[str, DataFrame],
+                  timings: dict[str, float]) -> str:
+    """Write the metric file of a run as :func:`read_metrics` reads it, and return its folder.
+
+    ``rankings`` has metric tables of a few rows, one per K, under "ranking" and "ranking_kfiltered".
+    """
+    as_map = lambda table: {str(r["k"]): {n: float(r[n]) for n in ("P", "R", "F1", "NDCG", "MRR", "HR", "MAP", "n_eval_users")}
+                            for r in table.collect()}
+    row = {**{k: scores.get(k) for k in ("rmse", "mae", "accuracy", "global_precision")},
+           **{k: as_map(t) for k, t in rankings.items()}, "timings": timings}
+    path = f"{folder}/{run}"
+    spark.createDataFrame([row], METRICS_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
 def parse_run(name: Column) -> list[Column]:
     """run, model, n_workers and size_tag out of a run name or a path that contains one."""
     part = lambda i: F.regexp_extract(name, RUN_NAME, i)

@@ -1,10 +1,14 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan
 from pomelo import cli, config, jobs
-from pomelo.sources import reviews as review_files
+from pomelo.operators import incremental as I
+from pomelo.sources import edges as edge_files, reviews as review_files, runs as run_files
+from pomelo.streaming import index
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +72,48 @@ def test_settings_precedence(tmp_path):
     assert config.load().train.epochs == 200
     with pytest.raises(ValueError, match="unknown setting"):
         config.load(None, {"train": {"speed": 1}})
+
+
+def test_prepare_mode(spark, dataset, tmp_path):
+    out = str(tmp_path / "prepared")
+    cli.main(["prepare", "--data-dir", dataset, "--model-dir", out, "--size-tag", "1k"])
+    meta = edge_files.read_meta(spark, f"{out}/meta").first()
+    edges, items, _ = edge_files.load_prepared(spark, out)
+    assert meta["size_tag"] == "1k" and meta["n_edges"] == edges.count() == 144 and meta["n_items"] == items.count()
+    assert set(meta["timings"]) == {"t_load", "t_split", "t_write", "t_total"} and sum(meta["split_counts"].values()) == 144
+    train = edges.filter("split = 'train'")
+    assert "PartitionFilters: [isnotnull(split" in plan(train) and train.count() == meta["split_counts"]["train"]
+
+
+def test_version_manifest_and_metric_file(spark, dataset, tmp_path):
+    out = str(tmp_path / "model")
+    cfg = {"keep_last": 1, "graph": {"item_item_edges": True, "k_neighbors": 2, "text_features": 16},
+           "model": {"emb_dim": 4}, "train": {"epochs": 1, "n_neg": 2}, "evaluation": {"k_list": [3]},
+           "incremental": {"epochs": 1, "warmup_epochs": 1}}
+    jobs.scratch(spark, dataset, out, config.load(None, cfg))
+    state = I.ModelState.load(spark, f"{out}/v1", 1)
+    assert state.item_edges.count() > 0
+    flat = run_files.flatten_ranking(run_files.read_metrics(spark, f"{out}/metrics/*")).first()
+    assert (flat["model"], flat["size_tag"], flat["k"]) == ("lightgcn", "v1", 3)
+    batch = spark.createDataFrame([("x1", "new", "b01", 5, "2020-02-01")],
+                                  "review_id string, user_id string, item_id string, rating int, date string")
+    jobs.incremental(spark, out, 1, batch, config.load(None, cfg))
+    manifest = spark.read.parquet(f"{out}/manifest")
+    assert {r["version"] for r in manifest.collect()} == {1, 2}
+    kept = {r["version"] for r in jobs.record_version(spark, out, 3, 2.0, 1).collect()}
+    assert kept == {3}  # the newest is the best, too
+    assert not os.path.exists(f"{out}/v1") and not os.path.exists(f"{out}/v2")
+
+
+@pytest.mark.parametrize("kind", jobs.STREAMS)
+def test_stream_mode(spark, tmp_path, kind):
+    body = '{"source": "pubmed", "pmid": "1", "title": "On care", "abstract": "a", "ingested_at": "2024-01-01T00:00:00"}'
+    rows = [("pubmed-articles", 0, 0, body), ("arxiv-articles", 0, 1, body.replace("pubmed", "arxiv").replace("pmid", "arxiv_id")),
+            ("pubmed-articles", 0, 2, "{broken")]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset long, value string").selectExpr(
+        "topic", "partition", "offset", "timestamp'2024-01-02 00:00:00' AS timestamp", "CAST(value AS BINARY) AS value")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    cli.main(["stream", "--model-dir", out, "--stream", kind, "--records-dir", str(tmp_path / "in"), "--once"])
+    stored = index.read_index(spark, f"{out}/data") if kind == "index" else spark.read.parquet(f"{out}/data")
+    assert stored.count() == {"pubmed": 1, "arxiv": 1, "unified": 3, "index": 2, "dead-letters": 1}[kind]
