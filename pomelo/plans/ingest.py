@@ -9,6 +9,7 @@ from ..sources import articles as article_files, kafka
 from ..streaming import articles as A, batches, index
 from . import domain as D, sqltext as S
 from .registry import query
+from .updates import GROWN
 
 TRIMMED = "trim(title, ' ')"
 
@@ -124,14 +125,18 @@ def index_stream(spark, sf):
     return index.read_index(spark, f"{out}/data").select("index_name", "doc_id", "offset")
 
 
-@query("review_batch_stream", "X6 I1 I2", f"""WITH {S.REVIEWS} SELECT review_id, rating FROM reviews""")
+@query("review_batch_stream", "X6 I1 I2", f"""WITH {GROWN}
+SELECT review_id, rating, user_idx, item_idx FROM past JOIN old_users USING (user_id) JOIN old_items USING (item_id)
+UNION ALL SELECT review_id, CAST(rating AS INTEGER), user_idx, item_idx FROM enc""")
 def review_batch_stream(spark, sf):
+    """The history as one micro-batch and the batch as the next, by the same stream."""
     source, out = fresh_path(spark, "batches"), fresh_path(spark, "ids")
-    D.reviews(spark, sf).repartitionByRange(3, "date").write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "2").parquet(source)
-    _drain(batches.review_stream(stream, out, f"{out}/checkpoint"))
-    return spark.read.parquet(f"{out}/encoded").select("review_id", F.col("rating").cast("int").alias("rating"))
+    for part in (D.history(spark, sf), D.batch(spark, sf)):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).parquet(source)
+        _drain(batches.review_stream(stream, out, f"{out}/checkpoint"))
+    return spark.read.parquet(f"{out}/encoded").select("review_id", F.col("rating").cast("int").alias("rating"),
+                                                       "user_idx", "item_idx")
 
 
 # ---------------------------------------------------------------- XML
