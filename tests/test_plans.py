@@ -88,3 +88,43 @@ def test_softmax_over_a_hot_destination_needs_no_window(spark):
     scored = hot(spark).withColumn("e", F.col("src") * 0.001)
     text = plan(graph.edge_softmax(scored))
     assert "Window" not in text and "partial_max" in text and "partial_sum" in text
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    D.reviews(spark, SF).write.parquet(str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    assert "GreaterThanOrEqual(rating,3)" in plan(clean.rating_filter(stored, 3))
+    text = plan(D.prepared(spark, SF).part("test"))
+    assert "PartitionFilters: [isnotnull(split" in text
+
+
+def test_whole_ratings_by_either_comparison(spark):
+    df = spark.createDataFrame([(None,), (0.5,), (2.9,), (3.0,), (4.2,)], "rating double")
+    for threshold in (0, 1, 3, 2.5):
+        slow = df.filter(clean.whole_rating("rating") >= threshold)
+        assert clean.rating_filter(df, threshold).exceptAll(slow).count() == 0
+        assert clean.rating_filter(df, threshold).count() == slow.count()
+
+
+def test_a_large_csv_is_read_by_several_tasks(spark, tmp_path):
+    from pomelo.sources import reviews as review_files
+    path = str(tmp_path / "c")
+    spark.range(200_000).selectExpr("id AS review_id", "id AS user_id", "id AS business_id", "'3.0' AS stars", "'2020-01-01' AS date") \
+        .coalesce(1).write.option("header", "true").csv(path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        df = review_files.read_reviews(spark, path)
+        assert df.rdd.getNumPartitions() > 3 and df.count() == 200_000
+        assert review_files.read_reviews(spark, path, multi_line=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_given_degrees_are_used(spark):
+    edges = graph.both_directions(hot(spark, 600).filter("src != dst").distinct())
+    vectors = spark.range(700).select(F.col("id").alias("node"), F.array(F.col("id") * 0.1, F.lit(1.0)).alias("v"))
+    degree = graph.degrees(edges).withColumn("degree", F.lit(1))
+    own = {r["node"]: r["v"] for r in graph.lightgcn(vectors, edges, 2).collect()}
+    other = {r["node"]: r["v"] for r in graph.lightgcn(vectors, edges, 2, degree=degree).collect()}
+    assert own != other
