@@ -2,8 +2,9 @@
 
 Random indexing gives each unit (a word, or the shape of a token) a sparse random index vector, and as
 its word vector the sum of the index vectors that it meets within ``WINDOW`` tokens, over the labelled
-sample. A text is the mean and the spread of its tokens' vectors, and the mean product of vectors that
-stand side by side, which tells repetition. A network of two layers in numpy turns that into a margin,
+sample. A text is the mean and the spread of its tokens' vectors and the mean product of vectors that
+stand side by side; and, of the index vectors, how far neighbours agree and how long the mean is, which
+tell repetition of words the sample has never seen. A network of two layers in numpy turns that into a margin,
 and a temperature fitted on labelled rows that it has not seen makes it a probability.
 """
 
@@ -27,6 +28,7 @@ LEAST_TOKENS = 4          # a word that the sample holds less often has its shap
 MOST_ROWS = {0: 3_000, 1: 5_000}   # labelled rows that are learnt from, by class, at most
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 40, 64, 3e-3, 1e-4
 THRESHOLD = 0.5
+EXTRA = 3                 # numbers of a text besides the pooled vectors
 STRETCH = 4_096           # tokens of a text that are in memory as vectors at once
 SEED = 9
 
@@ -94,12 +96,18 @@ def word_vectors(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean, spread and mean neighbour product of a text's token vectors, and how many have a word
-    vector; zeros for a text without tokens. Long texts are taken in stretches."""
+    """Mean, spread and mean neighbour product of a text's token vectors, the share of tokens that have a
+    word vector, the agreement of neighbours' index vectors and the length of their mean; zeros for a
+    text without tokens. Long texts are taken in stretches."""
     d = vectors.shape[1]
     total, squares, products = np.zeros(d), np.zeros(d), np.zeros(d)
     if not len(ids):
-        return np.zeros(3 * d + 1)
+        return np.zeros(3 * d + EXTRA)
+    words = ids // SHAPES
+    # equal words have equal index vectors, and those of different words are near orthogonal
+    agreement = float((words[1:] == words[:-1]).mean()) if len(ids) > 1 else 0.0
+    used, counts = np.unique(words, return_counts=True)
+    center = (_index_vectors()[used] * counts[:, None]).sum(axis=0) / len(ids)
     known, last = 0, None
     for at in range(0, len(ids), STRETCH):
         part = ids[at:at + STRETCH]
@@ -115,7 +123,8 @@ def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         last = x[-1]
     n = len(ids)
     mean = total / n
-    return np.concatenate([mean, np.sqrt(np.maximum(squares / n - mean * mean, 0)), products / n, [known / n]])
+    return np.concatenate([mean, np.sqrt(np.maximum(squares / n - mean * mean, 0)), products / n,
+                           [known / n, agreement, np.sqrt((center * center).sum() / NONZEROS)]])
 
 
 def _network(x: np.ndarray, layers) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +191,7 @@ def _model(packed: bytes):
     n = struct.unpack_from("<q", packed)[0]
     rest = np.frombuffer(packed, np.float64, n, 8)
     vectors = np.frombuffer(packed, np.float16, (BUCKETS + SHAPES) * DIMENSION, 8 + 8 * n)
-    size, at, parts = 3 * DIMENSION + 1, 0, []
+    size, at, parts = 3 * DIMENSION + EXTRA, 0, []
     for shape in ((size,), (size,), (size, HIDDEN), (HIDDEN,), (HIDDEN,), (1,)):
         k = int(np.prod(shape))
         parts.append(rest[at:at + k].reshape(shape))
