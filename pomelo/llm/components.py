@@ -56,3 +56,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         tables.keep(edges)
     return (edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
             .unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()))
+
+
+def joined_components(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more ``links`` (a, b), from the ``known`` ones (node, component).
+
+    The links are drawn between known components first, so only what is new is worked through.
+    """
+    def end(side: str) -> DataFrame:
+        return known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part"))
+
+    drawn = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(
+        "a", "b", F.coalesce("a_part", "a").alias("a_part"), F.coalesce("b_part", "b").alias("b_part"))
+    merged = connected_components(drawn.select(F.col("a_part").alias("a"), F.col("b_part").alias("b")))
+    old = known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("larger")), "component", "left")
+    old = old.select("node", F.coalesce("larger", "component").alias("component"))
+    # nodes that no component held before are their own part
+    return old.unionByName(merged.join(known.select("node"), "node", "left_anti"))
