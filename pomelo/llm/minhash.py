@@ -32,11 +32,11 @@ SHINGLE_WORDS = 5
 SEED = 20240607
 # Candidates are told by how many minima agree (their lowest bytes, that is): of the 128 that the
 # bands are made of in the first round, and then of SHARPER others. At a similarity of 0.75 these have
-# means 96 and 768 and deviations 4.9 and 13.9: fewer than the least come up about once in a million.
-SHARPER = 1_024
-LEAST_AGREEING = {BANDS * ROWS: 72, SHARPER: 702}
+# means 96 and 1,152 and deviations 4.9 and 17: fewer than the least come up about once in a million.
+SHARPER = 1_536
+LEAST_AGREEING = {BANDS * ROWS: 72, SHARPER: 1_071}
 # Proposals of a class in each round; the last has no limit.
-PROPOSALS = (1, 16, None)
+PROPOSALS = (1, 4, None)
 # Rows of a bucket that meet in one task; larger buckets are cut into blocks, and all pairs of blocks met.
 BLOCK_ROWS = 4_096
 _CHUNK = 1_024
