@@ -67,3 +67,29 @@ def test_extract(spark):
     got = sorted(map(tuple, extract(df).collect()), key=str)
     assert got == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (2, None, "", 0), (None, "u", "", 0)], key=str)
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("names", ["content-sidebar-wrap", "has-sidebar", "no-sidebar content", "page-with-menu",
+                                   "cookies-accepted", "elementor-widget-wrap", "sidebar-wrap", "widget"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_marks_of_wrappers_do_not_prune_the_article(names, tag):
+    article = "".join(f"<p>Paragraph {i}, which is long enough, and has some commas, to be the article's.</p>" for i in range(6))
+    sidebar = '<div class="sidebar"><p>Popular, now, and here, as ever.</p></div>'
+    text = main_text(PAGE.format(article=f'<div class="{names}"><{tag}>{article}</{tag}>{sidebar}</div>'))
+    assert [f"Paragraph {i}," in text for i in range(6)] == [True] * 6
+    assert not any(x in text for x in ("Buy", "cookies", "Popular", "reader"))
+
+
+def test_paragraphs_in_marked_elements_of_their_own_and_in_forms():
+    parts = "".join(f'<div class="widget"><p>Part {i}, which is long enough, and has some commas, to be text.</p></div>' for i in range(6))
+    for page in (f"<div>{parts}</div>", f"<form><div>{parts}</div></form>"):
+        text = main_text(PAGE.format(article=page))
+        assert [f"Part {i}," in text for i in range(6)] == [True] * 6 and "reader" not in text
+
+
+def test_long_comments_and_related_articles_still_go():
+    comments = "".join(f'<article class="comment-body"><p>I think, {i}, that this, here, is wrong, wrong, and long.</p></article>' for i in range(20))
+    cards = '<section class="related"><article><p>Another story, with a teaser, of some length.</p></article></section>'
+    page = f'<body><div><p>The story, short, and true.</p><p>It ends, here.</p></div><div class="comments">{comments}</div>{cards}</body>'
+    assert main_text(page) == "The story, short, and true.\n\nIt ends, here."
+    assert main_text('<p>Text <span class="share">Share</span>goes on.</p>') == "Text goes on."
