@@ -63,11 +63,11 @@ LINK_LIST = 0.8         # a list with this share of link text is a menu
 CHARS_PER_POINT = 100
 MOST_LENGTH_POINTS = 3
 CONTENT_POINTS = 5      # for scoring elements that are named as content
-LEVELS = 6              # ancestors that points are passed to; farther ones would get under a fifteenth
+LEVELS = 64             # ancestors that each block's points are passed to one by one; beyond, all points pass in one go
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "apart", "main", "named", "marks", "own", "share", "score", "chars", "links", "unlinked")
+    __slots__ = ("tag", "parent", "apart", "main", "named", "marks", "own", "share", "score", "chars", "links", "unlinked", "passed")
 
     def __init__(self, tag: str, parent: "_Element | None", apart: bool = False, main: bool = False,
                  named: bool = False, marks: frozenset[str] = frozenset(), own: str = "") -> None:
@@ -75,6 +75,7 @@ class _Element:
         self.marks, self.own = marks, own  # kinds of its marks; "main" or "article" if it is one itself
         self.share = 1.0  # of a block's points
         self.score, self.chars, self.links, self.unlinked = 0.0, 0, 0, 0
+        self.passed = 0.0  # points on their way to ancestors beyond LEVELS
 
     def link_share(self) -> float:
         return self.links / self.chars if self.chars else 0.0
@@ -269,8 +270,12 @@ def _container(page: _Page, blocks: list[tuple[_Element, str, int]]) -> set[int]
                 break
             to.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             to = to.parent
+        if to is not None:
+            to.passed += points / (3 * LEVELS)
     for element in reversed(page.elements):  # children come after their parents
+        element.score += element.passed
         if element.parent is not None:
+            element.parent.passed += element.passed * LEVELS / (LEVELS + 1)
             element.parent.chars += element.chars
             element.parent.links += element.links
     best, most = None, 0.0

@@ -93,3 +93,10 @@ def test_long_comments_and_related_articles_still_go():
     page = f'<body><div><p>The story, short, and true.</p><p>It ends, here.</p></div><div class="comments">{comments}</div>{cards}</body>'
     assert main_text(page) == "The story, short, and true.\n\nIt ends, here."
     assert main_text('<p>Text <span class="share">Share</span>goes on.</p>') == "Text goes on."
+
+
+@pytest.mark.parametrize("wrappers", [8, 12, 70])
+def test_paragraphs_in_many_wrappers_of_their_own(wrappers):
+    wrapped = lambda i: "<div>" * wrappers + f"<p>Paragraph {i}, which is long enough, and has commas.</p>" + "</div>" * wrappers
+    text = main_text("<body><div><span>x</span>" + "".join(map(wrapped, range(400))) + "</div></body>")
+    assert [f"Paragraph {i}," in text for i in range(400)] == [True] * 400
