@@ -23,6 +23,9 @@ from .components import connected_components
 
 COSINE = 0.93
 CELL_ROWS = 2_048
+# Smaller groups have the square root of their rows as pivots, but not more than FEW_PIVOTS, since a
+# vector may be copied to each; groups of fewer rows than LEAST_ROWS are one cell.
+LEAST_ROWS, FEW_PIVOTS = 16, 8
 MAX_PIVOTS = 512  # of all groups together: bounds what is broadcast
 BLOCK_ROWS = 2_048
 SEED = 5
@@ -70,16 +73,21 @@ def _units(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataF
 def _pivots(classes: DataFrame) -> dict:
     """Pivot matrices by (label, dim), for groups of several cells; drawn by a hash of the class.
 
-    About one pivot for ``CELL_ROWS`` classes, at most about ``MAX_PIVOTS`` in all. They decide how
-    the work is cut, never what is found.
+    About one pivot for ``CELL_ROWS`` classes, or in smaller groups as many as the square root of their
+    classes up to ``FEW_PIVOTS``; at most about ``MAX_PIVOTS`` in all, of which large groups get theirs
+    first. They decide how the work is cut, never what is found.
     """
-    groups = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL_ROWS)
-    total = groups.agg(F.sum("n").alias("n")).first()["n"]
-    if not total:
+    groups = (classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_ROWS)
+              .withColumn("large", F.when(F.col("n") > CELL_ROWS, F.col("n") / CELL_ROWS).otherwise(0.0))
+              .withColumn("more", F.greatest(F.least(F.sqrt("n"), F.lit(float(FEW_PIVOTS))) - F.col("large"), F.lit(0.0))))
+    total = groups.agg(F.sum("large").alias("large"), F.sum("more").alias("more")).first()
+    if total["large"] is None:
         return {}
-    share = min(1.0 / CELL_ROWS, MAX_PIVOTS / total)
+    large = min(1.0, MAX_PIVOTS / max(total["large"], 1e-9))
+    more = min(1.0, (MAX_PIVOTS - large * total["large"]) / max(total["more"], 1e-9))
+    shares = groups.select("label", "dim", ((F.col("large") * large + F.col("more") * more) / F.col("n")).alias("share"))
     draw = F.pmod(F.xxhash64("class_id", F.lit(SEED)), F.lit(2**40)) / float(2**40)
-    rows = (classes.filter(draw < share).join(groups, ["label", "dim"], "left_semi")
+    rows = (classes.join(shares, ["label", "dim"]).filter(draw < F.col("share"))
             .select("label", "dim", "class_id", "unit").orderBy("class_id").limit(2 * MAX_PIVOTS).collect())
     found: dict = {}
     for row in rows:

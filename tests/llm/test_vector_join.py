@@ -82,3 +82,12 @@ def test_every_neighbour_is_in_the_home_cell(spark, monkeypatch):
     for a, b in itertools.permutations(units, 2):
         if units[a][0] == units[b][0] and units[a][1] @ units[b][1] >= 0.93:
             assert (*homes[a], b) in members
+
+
+def test_small_groups_have_pivots(spark):
+    rows = rows_of(n=200, seed=3)
+    units = vector_join._units(frame(spark, rows), "vec_id", "embedding", "label").filter("class_id IS NOT NULL")
+    classes = units.selectExpr("class_id", "1L AS n", "label", "dim", "unit").dropDuplicates(["class_id"])
+    assert {len(p) > 1 for p in vector_join._pivots(classes).values()} == {True}
+    assert len(vector_join._pivots(classes)) == 3
+    assert sorted(map(tuple, vector_join.near_vectors(frame(spark, rows)).collect())) == brute(rows)
