@@ -1,10 +1,11 @@
 """Near duplicates by MinHash: universal hash minima, banding, verification, components.
 
 1. Each text becomes its set of distinct shingles, as 64-bit hashes, in a Python worker; what leaves
-   it is the set's size, a 128-bit digest of the set, the minima of ``BANDS * ROWS`` universal hash
+   it is the set's size, a 128-bit digest of the set, the minima of ``MINIMA`` universal hash
    functions and a hash of each band. Texts with equal sets are one class from here on.
-2. Classes that share a band are candidates. With a similarity of s, a pair shares no band with
-   probability ``(1 - s**ROWS) ** BANDS``: 5.4e-6 at 0.75.
+2. Classes that share a band are candidates. With a similarity of s, a pair shares no band of r rows
+   with probability ``(1 - s**r) ** (MINIMA / r)``: 5.4e-6 at 0.75, where r is 4. Lower percentages
+   have bands of 2 rows or 1, so that it is never more than 1e-5.
 3. In every bucket, each class proposes the classes of other components that agree most with its
    signature, and each class's best proposals are compared on their full sets. The components of the
    links found are joined, and the next round proposes more, until the last one proposes all that is
@@ -27,14 +28,16 @@ from .common import bound_batches
 from .components import joined_components
 from .tokens import Generations
 
-BANDS, ROWS = 32, 4
+MINIMA = 128
+MOST_MISSED = 1e-5      # pairs at the wanted similarity that share no band, at most
 SHINGLE_WORDS = 5
 SEED = 20240607
 # Candidates are told by how many minima agree (their lowest bytes, that is): of the 128 that the
-# bands are made of in the first round, and then of SHARPER others. At a similarity of 0.75 these have
-# means 96 and 768 and deviations 4.9 and 13.9: fewer than the least come up about once in a million.
+# bands are made of in the first round, and then of SHARPER others. Fewer than the mean at the wanted
+# similarity less this many deviations come up about once in a million; at 0.75 the means are 96 and
+# 768, the deviations 4.9 and 13.9, and the least 72 and 702.
 SHARPER = 1_024
-LEAST_AGREEING = {BANDS * ROWS: 72, SHARPER: 702}
+DEVIATIONS = 4.76
 # Proposals of a class in each round; the last has no limit.
 PROPOSALS = (1, 4, None)
 # Rows of a bucket that meet in one task; larger buckets are cut into blocks, and all pairs of blocks met.
@@ -44,15 +47,32 @@ _CHUNK = 1_024
 # Odd multipliers and addends of the multiply-add functions on 64-bit words; the high half of the
 # result counts.
 _RANDOM = np.random.Generator(np.random.PCG64(SEED))
-_MULTIPLY = _RANDOM.integers(0, 2**64, BANDS * ROWS + SHARPER, dtype=np.uint64) | np.uint64(1)
-_ADD = _RANDOM.integers(0, 2**64, BANDS * ROWS + SHARPER, dtype=np.uint64)
-_OF_BANDS, _OTHERS = slice(0, BANDS * ROWS), slice(BANDS * ROWS, BANDS * ROWS + SHARPER)
+_MULTIPLY = _RANDOM.integers(0, 2**64, MINIMA + SHARPER, dtype=np.uint64) | np.uint64(1)
+_ADD = _RANDOM.integers(0, 2**64, MINIMA + SHARPER, dtype=np.uint64)
+_OF_BANDS, _OTHERS = slice(0, MINIMA), slice(MINIMA, MINIMA + SHARPER)
 _WORD_FACTORS = _RANDOM.integers(0, 2**64, SHINGLE_WORDS, dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _WORDS = Generations(xxhash.xxh64_intdigest)
 
 
+def band_rows(percent: int) -> int:
+    """Minima of a band: as many of 4, 2 and 1 as leave a pair at ``percent`` almost surely in a band."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be above 0 and at most 100, not {percent}")
+    for rows in (4, 2, 1):
+        if (1 - (percent / 100) ** rows) ** (MINIMA // rows) <= MOST_MISSED:
+            return rows
+    raise ValueError(f"{MINIMA} minima can't find pairs at {percent} percent")
+
+
+def least_agreeing(minima: int, percent: int) -> int:
+    """Of so many minima, those that agree at least in a pair at ``percent``; from 75 on as many as there,
+    since few misses are not normally distributed."""
+    s = min(percent, 75) / 100
+    return max(0, int(minima * s - DEVIATIONS * (minima * s * (1 - s)) ** 0.5))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(31)
     x *= _MIX
@@ -91,19 +111,19 @@ def minima(shingles: np.ndarray, functions: slice = _OF_BANDS) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def _band_hashes(signature: np.ndarray) -> np.ndarray:
-    bands = signature.reshape(BANDS, ROWS).astype(np.uint64)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
-    for k in range(ROWS):
+def _band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
+    bands = signature.reshape(-1, rows).astype(np.uint64)
+    out = np.arange(1, len(bands) + 1, dtype=np.uint64) * _MIX
+    for k in range(rows):
         out = _mixed((out ^ bands[:, k]) * _MULTIPLY[k])
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str, text: str, percent: int = 75) -> DataFrame:
     """``doc_id, text_hash, n_shingles, set_id, signature, bands`` of every row; the last two are null
     for an empty set. The signature is the lowest byte of each minimum."""
     bound_batches(docs.sparkSession)
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind, width = docs.schema[doc_id].dataType.simpleString(), band_rows(percent)
 
     def run(batches):
         for batch in batches:
@@ -115,7 +135,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 if len(shingles):
                     signature = minima(shingles)
                     signs.append(signature.astype(np.uint8).tobytes())
-                    bands.append(_band_hashes(signature))
+                    bands.append(_band_hashes(signature, width))
                 else:
                     signs.append(None)
                     bands.append(None)
@@ -134,7 +154,7 @@ def _best(found: list, band: int, x: tuple, y: tuple, limit: int | None, percent
     proposes them."""
     ids, signs, sizes, parts, bands = x
     other_ids, other_signs, other_sizes, other_parts, other_bands = y
-    least = LEAST_AGREEING[signs.shape[1]]
+    least = least_agreeing(signs.shape[1], percent)
     step = max(1, 2**22 // (len(other_ids) * signs.shape[1]))
     for at in range(0, len(ids), step):  # bounds the comparisons held at once
         rows = slice(at, at + step)
@@ -181,7 +201,7 @@ def _proposals(members: DataFrame, limit: int | None, percent: int) -> DataFrame
                     np.frombuffer(b"".join(batch.column("set_id").to_pylist()), "V16"),
                     np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(batch.num_rows, -1),
                     batch.column("n").to_numpy(), batch.column("part").to_numpy(),
-                    batch.column("bands").flatten().to_numpy().reshape(-1, BANDS))
+                    batch.column("bands").flatten().to_numpy().reshape(-1, MINIMA // band_rows(percent)))
 
         def propose(key, block, ids, signs, sizes, parts, bands, found):
             if len(ids) < 2:
@@ -297,7 +317,7 @@ def _sharper(texts: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     """``doc_id, text_hash, n_shingles, group, component_id`` of every row; the group is null for an
     empty set."""
-    rows = materialize(signatures(docs, doc_id, text), "signatures")
+    rows = materialize(signatures(docs, doc_id, text, percent), "signatures")
     full = rows.filter("n_shingles > 0")
     classes = materialize(
         full.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"),
@@ -347,7 +367,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nothing, not even with each other: each is its own component. Rows with equal sets are linked,
     so repeated rows share a component; those with the same id are all kept. A row without an id
     links as any other, never gives its component a name, and is not kept unless nothing in its
-    component has an id. An empty table gives an empty result; other columns are not read.
+    component has an id. An empty table gives an empty result; other columns are not read. Percentages
+    too low for ``MINIMA`` minima, below 9, are an error.
     """
     return _grouped(docs, doc_id, text, percent).select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -99,3 +99,23 @@ def test_components(spark):
     nodes = {n for p in links if p[0] != p[1] for n in p}
     assert got == components(nodes, [p for p in links if p[0] != p[1]])
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [30, 60])
+def test_links_at_lower_percentages(spark, percent):
+    """Pairs just above the percentage: sets of 100 shingles that share a run of them."""
+    rows, shared = [], -(-200 * percent // (100 + percent))
+    for i in range(40):
+        common = [f"c{i}_{k}" for k in range(shared + 4)]
+        rows += [(2 * i + side, " ".join(common + [f"s{i}_{side}_{k}" for k in range(100 - shared)])) for side in (0, 1)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(spark, rows), percent=percent).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+    assert all(100 * len(shingles(a[1]) & shingles(b[1])) >= percent * len(shingles(a[1]) | shingles(b[1]))
+               for a, b in zip(rows[::2], rows[1::2]))
+
+
+def test_limits_at_75_percent_and_percentages_that_are_too_low(spark):
+    assert (minhash.band_rows(75), minhash.least_agreeing(128, 75), minhash.least_agreeing(1024, 75)) == (4, 72, 702)
+    for percent in (0, 5, 101):
+        with pytest.raises(ValueError):
+            minhash.near_duplicates(documents(spark, [(1, "a")]), percent=percent)
