@@ -125,3 +125,13 @@ def test_pack(spark, library):
     used = sum(r["length"] for r in got)
     assert used / (1024 * len(sequences)) > 0.95
     assert packing.pack(documents(spark, []), tokenizer_path()).count() == 0
+
+
+def test_frequent_pieces_of_all_texts_are_found(spark, monkeypatch):
+    rows = [(i, f"x early{i % 7}") for i in range(2500)] + [(5000 + i, "x later later") for i in range(2500)] + [(9000, "x " + "long " * 8000)]
+    joined, counts = token_counts.frequent_table(documents(spark, rows).coalesce(1), tokenizer_path())
+    assert joined.split(" ")[:2] == ["long", "later"] and len(counts) == len(joined.split(" "))
+    monkeypatch.setattr(token_counts, "COUNTED_PIECES", 8)
+    seen = Counter({f"p{i}": 1 for i in range(12)} | {"often": 50, "more": 40})
+    token_counts._bounded(seen)
+    assert set(seen) == {"often", "more"}
