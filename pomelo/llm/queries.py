@@ -84,3 +84,27 @@ def op9_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
     docs = table(spark, sf_dir, "documents")
     return quality(docs, docs, table(spark, sf_dir, "labels"))
+
+
+@register
+def op12_range_sorted_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_digests
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_range_sorted_line_dedup"] = r"""
+WITH cut AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+keyed AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM cut),
+firsts AS (SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key),
+marked AS (
+  SELECT k.doc_id, k.pos, k.line, f.first_doc IS NOT NULL AND k.doc_id > f.first_doc AS gone
+  FROM keyed k LEFT JOIN firsts f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY pos), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
