@@ -108,3 +108,48 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
        sha256(coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY pos), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@register
+def op13_misra_gries_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_misra_gries_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM worded
+  UNION ALL
+  SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM worded WHERE len(w) >= 2
+  UNION ALL
+  SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM worded WHERE len(w) >= 3),
+counts AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM counts WHERE k >= 2 AND n >= 10),
+cuts AS (
+  SELECT lang, phrase, a, 1 AS cut, w[1] AS lhs, array_to_string(w[2:k], ' ') AS rhs FROM cand
+  UNION ALL
+  SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM cand WHERE k = 3),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.n AS l, y.n AS r,
+         (1000000::HUGEINT * c.a * c.a // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.lhs JOIN counts y ON y.lang = c.lang AND y.phrase = c.rhs),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scored),
+longer AS (
+  SELECT lang, phrase, max(a) AS b FROM (
+    SELECT lang, a, w[1] || ' ' || w[2] AS phrase FROM cand WHERE k = 3
+    UNION ALL
+    SELECT lang, a, w[2] || ' ' || w[3] FROM cand WHERE k = 3) GROUP BY lang, phrase),
+kept AS (
+  SELECT s.lang, s.phrase, s.a, s.l, s.r, s.score,
+         row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+  FROM low s LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase
+  WHERE s.place = 1 AND (g.b IS NULL OR 100 * g.b < 50 * s.a))
+SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, t.n, k.score
+FROM kept k JOIN totals t ON t.lang = k.lang WHERE k.rank <= 2000
+"""
