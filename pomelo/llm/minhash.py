@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import materialize
 from .common import bound_batches
 from .components import joined_components
-from .tokens import Generations
+from .worker_caches import Generations, kept_by, start
 
 MINIMA = 128
 MOST_MISSED = 1e-5      # pairs at the wanted similarity that share no band, at most
@@ -54,6 +54,7 @@ _WORD_FACTORS = _RANDOM.integers(0, 2**64, SHINGLE_WORDS, dtype=np.uint64) | np.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _WORDS = Generations(xxhash.xxh64_intdigest)
+kept_by("minhash", _WORDS.clear)
 
 
 def band_rows(percent: int) -> int:
@@ -86,6 +87,7 @@ def shingle_set(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     Words are runs of characters other than ASCII white space, with A-Z in lower case. A text of
     fewer words is one shingle as a whole; one without words has none.
     """
+    start("minhash")
     # bytes.lower() and bytes.split() know ASCII only, which is what is asked for
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:

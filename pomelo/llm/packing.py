@@ -136,7 +136,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
               "sequence_id long, offset long")
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, "packing")
         end = np.array([end_id], "<u4").tobytes()
         packer = _Packer(size, TaskContext.get().partitionId() << _NUMBER_BITS)
         id_type = None

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import labelled
-from .tokens import Generations
+from .worker_caches import Generations, kept_by, start
 
 BUCKETS = 1 << 15
 SHAPES = 64
@@ -52,10 +52,12 @@ def _unit(token: str) -> int:
 
 
 _UNITS = Generations(_unit)
+kept_by("quality", _UNITS.clear)
 
 
 def units(text: str) -> np.ndarray:
     """The units of a whole text's tokens, in order."""
+    start("quality")
     tokens = _TOKEN.findall(text)
     return np.fromiter(map(_UNITS.__getitem__, tokens), np.int32, len(tokens))
 
@@ -199,6 +201,10 @@ def _model(packed: bytes):
     return parts[0], parts[1], parts[2:], float(rest[at]), vectors.astype(np.float32).reshape(-1, DIMENSION)
 
 
+kept_by("quality", _model.cache_clear)
+kept_by("quality", _index_vectors.cache_clear)
+
+
 def score(packed: bytes, texts: list[str]) -> np.ndarray:
     """Probabilities that texts are of good quality."""
     center, scale, layers, temperature, vectors = _model(packed)

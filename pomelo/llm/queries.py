@@ -153,3 +153,9 @@ kept AS (
 SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, t.n, k.score
 FROM kept k JOIN totals t ON t.lang = k.lang WHERE k.rank <= 2000
 """
+
+
+@register
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+    return align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))

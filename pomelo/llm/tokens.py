@@ -15,6 +15,9 @@ from array import array
 import numpy as np
 import regex
 
+from . import worker_caches
+from .worker_caches import Generations
+
 # Two white space characters in a row: the place where cutting at spaces alone would be wrong.
 _RUN = re.compile(r"\s\s")
 # The general cut: words with the space before them, and runs of white space as the tokenizer sees them.
@@ -26,42 +29,20 @@ _ONE_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _SAME_CLASSES = re.compile(r"[\0-\u052f\u3000-\u9fff\uac00-\ud7a3]*")
 
 
-def _byte_alphabet() -> dict[int, int]:
+def byte_alphabet() -> dict[int, int]:
     """The character a byte-level model writes for each byte: itself if it is printable, else one
     from 256 on, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
 
-CACHE_ENTRIES = 300_000
-LONGEST_CACHED = 32
-
-
-class Generations(dict):
-    """A bounded cache: when full, the entries become the old generation and the one before goes."""
-
-    def __init__(self, compute, entries: int = CACHE_ENTRIES) -> None:
-        super().__init__()
-        self._compute, self._entries, self._old = compute, entries, {}
-
-    def __missing__(self, key):
-        value = self._old.get(key)
-        if value is None:
-            value = self._compute(key)
-            if len(key) > LONGEST_CACHED:
-                return value
-        if len(self) >= self._entries:
-            self._old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
 
 class Encoder:
     """One tokenizer file in one worker. ``ids(text)`` gives the ids as packed unsigned 32-bit
-    little-endian numbers."""
+    little-endian numbers. Special strings in a text are tokens of their own, as is the library's
+    default, or with ``plain`` ordinary text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
         self.path = path
         if path.endswith(".model"):
             import sentencepiece
@@ -72,8 +53,9 @@ class Encoder:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_padding()
             tokenizer.no_truncation()
+            tokenizer.encode_special_tokens = plain
             self._whole = lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            self._model, self._alphabet = tokenizer.model, _byte_alphabet()
+            self._model, self._alphabet = tokenizer.model, byte_alphabet()
             with open(path, encoding="utf-8") as file:
                 description = json.load(file)
             before = description.get("pre_tokenizer") or {}
@@ -82,7 +64,8 @@ class Encoder:
                         and before.get("use_regex", True) and not before.get("add_prefix_space")
                         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]
                                     for t in added))
-            # a special string in a text is one token, as is the library's default
+            if plain:
+                added = [t for t in added if not t["special"]]
             self._special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
             self._parts = (re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")")
                            if added else None)
@@ -145,11 +128,13 @@ class Encoder:
         return len(self._piece(text)) // 4 if self.cut else len(self._whole(text))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, operator: str, plain: bool = False) -> Encoder:
+    """The encoder of this worker process, kept from task to task of an operator."""
+    worker_caches.start(operator)
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = Encoder(path, plain)
+        worker_caches.kept_by(operator, _ENCODERS.clear)
+    return _ENCODERS[path, plain]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import labelled
-from .tokens import Generations
+from .worker_caches import Generations, kept_by, start
 
 BITS = 32
 # Terms of the machine: at most, documents that one is in at least, and standard errors between its
@@ -36,20 +36,20 @@ SEED = 3
 _WORD = re.compile(r"[^\W_]+")
 
 
-def _hashes(word: str) -> tuple[int, ...]:
+def _hashes(word: str) -> bytes:
     terms = [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
-    return tuple(xxhash.xxh32_intdigest(t, SEED) for t in terms)
+    return struct.pack(f"={len(terms)}I", *(xxhash.xxh32_intdigest(t, SEED) for t in terms))
 
 
 _TERMS = Generations(_hashes)
+kept_by("toxicity", _TERMS.clear)
 
 
 def terms(text: str) -> np.ndarray:
     """Sorted distinct hashed terms of a whole text."""
-    out: set[int] = set()
-    for hashed in map(_TERMS.__getitem__, set(_WORD.findall(text.lower()))):
-        out.update(hashed)
-    return np.sort(np.fromiter(out, np.uint32, len(out)))
+    start("toxicity")
+    packed = b"".join(map(_TERMS.__getitem__, set(_WORD.findall(text.lower()))))
+    return np.unique(np.frombuffer(packed, np.uint32))
 
 
 def _known(hashes: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -150,6 +150,9 @@ def _model(packed: bytes) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     return bias, hashes, w, np.frombuffer(packed, np.float32, n * FACTORS, 16 + 8 * n).reshape(n, FACTORS)
 
 
+kept_by("toxicity", _model.cache_clear)
+
+
 def score(packed: bytes, texts: list[str]) -> np.ndarray:
     """Probabilities of the toxic class; texts are taken in stretches of bounded size."""
     bias, hashes, w, v = _model(packed)

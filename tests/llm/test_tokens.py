@@ -40,14 +40,6 @@ def test_other_tokenizers_are_whole(name):
     assert enc.length(text) == len(enc.ids(text)) // 4 > 0
 
 
-def test_bounded_cache():
-    cache = tokens.Generations(len, 10)
-    for k in range(1000):
-        assert cache[f"w{k}"] == len(f"w{k}")
-        assert len(cache) <= 10
-    assert cache["x" * 100] == 100 and "x" * 100 not in cache
-
-
 def test_counts(spark, library):
     rows = [(1, "A small text."), (2, None), (3, ""), (3, ""), (None, "no id"), (4, "<|endoftext|> in a text"),
             (5, "long " * 40_000), *[(100 + i, t) for i, t in enumerate(texts(300, 2))]]
