@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path
 from ..sources import articles as article_files, kafka
-from ..streaming import articles as A, batches, index
+from ..streaming import articles as A, batches, faults, index
 from . import domain as D, sqltext as S
 from .registry import query
 from .updates import GROWN
@@ -21,12 +21,15 @@ def _topic_sql(topic: str, key: str) -> str:
   FROM articles WHERE NOT bad AND NOT lost AND topic = '{topic}' AND {TRIMMED} <> ''"""
 
 
-def _topic(records, topic, key):
-    rows = A.process_topic(records, topic)
+def _topic_view(rows, key="pmid"):
     return rows.select("title", "title_lower", F.md5("abstract").alias("abstract_md5"), "source", key, "has_abstract",
                        "n_authors", F.date_format("published_at", "yyyy-MM-dd").alias("published_at"), "offset", "partition")
 
 
+def _topic(records, topic, key):
+    return _topic_view(A.process_topic(records, topic), key)
+
+
 @query("pubmed_articles", "X1 F25 F7 F11 F12 F26 P7 P8 P9", _topic_sql(kafka.PUBMED_TOPIC, "pmid"))
 def pubmed_articles(spark, sf):
     return _topic(D.kafka_records(spark, sf), kafka.PUBMED_TOPIC, "pmid")
@@ -105,9 +108,7 @@ def _drain(started):
 def article_stream_to_parquet(spark, sf):
     source, out = _record_files(spark, sf), fresh_path(spark, "stream")
     _drain(A.topic_stream(kafka.read_files(spark, source), kafka.PUBMED_TOPIC, f"{out}/data", f"{out}/checkpoint", None))
-    stored = spark.read.parquet(f"{out}/data")
-    return stored.select("title", "title_lower", F.md5("abstract").alias("abstract_md5"), "source", "pmid", "has_abstract",
-                         "n_authors", F.date_format("published_at", "yyyy-MM-dd").alias("published_at"), "offset", "partition")
+    return _topic_view(spark.read.parquet(f"{out}/data"))
 
 
 @query("unified_stream_to_parquet", "S13 X2 X3 X4", UNIFIED_SQL)
@@ -125,6 +126,46 @@ def index_stream(spark, sf):
     return index.read_index(spark, f"{out}/data").select("index_name", "doc_id", "offset")
 
 
+@query("index_stream_after_crash", "S15 X4 X5 W8", f"""WITH {S.ARTICLES}, {ENRICHED} SELECT index_name, article_id AS doc_id, max(doc_id) AS "offset" FROM e GROUP BY index_name, article_id""")
+def index_stream_after_crash(spark, sf):
+    """The index stream fails when its second batch is written and not yet recorded, and is started again."""
+    source, out = _record_files(spark, sf), fresh_path(spark, "index")
+    stream = A.enrich_articles(A.unified_articles(kafka.read_files(spark, source)))
+    crash = faults.after_write(1)
+    start = lambda: index.index_stream(stream, f"{out}/data", f"{out}/checkpoint", wrap=crash)
+    if not faults.run_through(start) or faults.run_through(start):
+        raise RuntimeError("the stream was to fail once")
+    return index.read_index(spark, f"{out}/data").select("index_name", "doc_id", "offset")
+
+
+@query("article_stream_after_crash", "S13 X1 X3 X4", _topic_sql(kafka.PUBMED_TOPIC, "pmid"))
+def article_stream_after_crash(spark, sf):
+    """A task of the stream fails inside a batch while others have written their files, and it is started again."""
+    source, out = _record_files(spark, sf), fresh_path(spark, "stream")
+    records = kafka.read_files(spark, source, files_per_trigger=2)
+    start = lambda rows: A.topic_stream(rows, kafka.PUBMED_TOPIC, f"{out}/data", f"{out}/checkpoint", None)
+    failing = faults.failing_rows(records, (F.col("partition") == 3) & (F.col("topic") == kafka.PUBMED_TOPIC))
+    if not faults.run_through(lambda: start(failing)) or faults.run_through(lambda: start(records)):
+        raise RuntimeError("the stream was to fail once")
+    return _topic_view(spark.read.parquet(f"{out}/data"))
+
+
+@query("review_stream_after_crash", "X4 X6 I1 I2", f"""WITH {GROWN}
+SELECT review_id, rating, user_idx, item_idx FROM past JOIN old_users USING (user_id) JOIN old_items USING (item_id)
+UNION ALL SELECT review_id, CAST(rating AS INTEGER), user_idx, item_idx FROM enc""")
+def review_stream_after_crash(spark, sf):
+    """Both micro-batches of reviews fail after they are written; ids and rows are those of a run without a fault."""
+    source, out = fresh_path(spark, "batches"), fresh_path(spark, "ids")
+    for number, part in enumerate((D.history(spark, sf), D.batch(spark, sf))):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).parquet(source)
+        crash = faults.after_write(number)
+        start = lambda: batches.review_stream(stream, out, f"{out}/checkpoint", wrap=crash)  # noqa: E731,B023
+        if not faults.run_through(start) or faults.run_through(start):
+            raise RuntimeError("the stream was to fail once")
+    return spark.read.parquet(f"{out}/encoded").select("review_id", F.col("rating").cast("int").alias("rating"), "user_idx", "item_idx")
+
+
 @query("review_batch_stream", "X6 I1 I2", f"""WITH {GROWN}
 SELECT review_id, rating, user_idx, item_idx FROM past JOIN old_users USING (user_id) JOIN old_items USING (item_id)
 UNION ALL SELECT review_id, CAST(rating AS INTEGER), user_idx, item_idx FROM enc""")

@@ -87,31 +87,31 @@ def arxiv_records(elements: DataFrame, ingested_at: Column | None = None,
         (ingested_at if ingested_at is not None else now).alias("ingested_at"))
 
 
-def read_pubmed(spark: SparkSession, path: str) -> DataFrame:
+def read_pubmed(spark: SparkSession, path: str, abstract_length: int | None = None) -> DataFrame:
     """Records of XML export files; big files are split at article elements."""
     return pubmed_records(spark.read.format("xml").option("rowTag", "PubmedArticle")
-                          .schema(PUBMED_ELEMENT).load(path))
+                          .schema(PUBMED_ELEMENT).load(path), abstract_length=abstract_length)
 
 
-def read_arxiv(spark: SparkSession, path: str) -> DataFrame:
+def read_arxiv(spark: SparkSession, path: str, abstract_length: int | None = None) -> DataFrame:
     return arxiv_records(spark.read.format("xml").option("rowTag", "entry")
-                         .option("ignoreNamespace", "true").schema(ARXIV_ELEMENT).load(path))
+                         .option("ignoreNamespace", "true").schema(ARXIV_ELEMENT).load(path), abstract_length=abstract_length)
 
 
-def parse_pubmed(df: DataFrame, column: str = "xml", ingested_at: str | None = None) -> DataFrame:
+def parse_pubmed(df: DataFrame, column: str = "xml", ingested_at: str | None = None, abstract_length: int | None = None) -> DataFrame:
     """Records of a text column that holds one ``PubmedArticle`` element per row."""
     struct = "struct<" + _as_struct(PUBMED_ELEMENT) + ">"
     carried = [ingested_at] if ingested_at else []
     parsed = df.select(F.from_xml(F.col(column), struct, {"mode": "PERMISSIVE"}).alias("_e"), *carried)
-    return pubmed_records(parsed.select("_e.*", *carried), F.col(ingested_at) if ingested_at else None)
+    return pubmed_records(parsed.select("_e.*", *carried), F.col(ingested_at) if ingested_at else None, abstract_length)
 
 
-def parse_arxiv(df: DataFrame, column: str = "xml", ingested_at: str | None = None) -> DataFrame:
+def parse_arxiv(df: DataFrame, column: str = "xml", ingested_at: str | None = None, abstract_length: int | None = None) -> DataFrame:
     """Records of a text column that holds one ``entry`` element per row."""
     struct = "struct<" + _as_struct(ARXIV_ELEMENT) + ">"
     carried = [ingested_at] if ingested_at else []
     parsed = df.select(F.from_xml(F.col(column), struct, {"ignoreNamespace": "true"}).alias("_e"), *carried)
-    return arxiv_records(parsed.select("_e.*", *carried), F.col(ingested_at) if ingested_at else None)
+    return arxiv_records(parsed.select("_e.*", *carried), F.col(ingested_at) if ingested_at else None, abstract_length)
 
 
 def _as_struct(ddl: str) -> str:

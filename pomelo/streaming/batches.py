@@ -5,41 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import encode
-from ..operators.incremental import encode_batch
+from .ids import IdLog
 
 
-def _latest(spark: SparkSession, root: str, name: str, batch_id: int) -> DataFrame | None:
-    """Id table after the last batch before ``batch_id``; a repeated batch starts from the same one."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for previous in range(batch_id - 1, -2, -1):
-        folder = f"{root}/{name}/v{previous}"
-        path = hadoop.Path(f"{folder}/_SUCCESS")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            return spark.read.parquet(folder)
-    return None
+def id_logs(spark: SparkSession, root: str) -> tuple[IdLog, IdLog]:
+    """Ids of users and of items."""
+    return IdLog(spark, f"{root}/users", "user_id", "user_idx"), IdLog(spark, f"{root}/items", "item_id", "item_idx")
 
 
 def process_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     """Extend users and items by the batch's new keys and write the encoded rows.
 
-    All three tables carry the batch number in their folder and are overwritten when the
-    batch is repeated.
+    A batch writes its new keys and its own rows, whatever the number of known ids. The ids remember the
+    batch; the encoded rows carry its number in their folder and are replaced when it is repeated.
     """
-    spark = batch.sparkSession
-    ids = {}
-    for name, key, idx in (("users", "user_id", "user_idx"), ("items", "item_id", "item_idx")):
-        known = _latest(spark, root, name, batch_id)
-        grown = (encode.dense_ids(batch, key, idx) if known is None
-                 else encode.extend_ids(known, batch, key, idx))
-        folder = f"{root}/{name}/v{batch_id}"
-        grown.write.mode("overwrite").parquet(folder)
-        ids[name] = spark.read.parquet(folder)
-    (encode_batch(batch, ids["users"], ids["items"]).withColumn("batch", F.lit(batch_id))
-     .write.mode("overwrite").parquet(f"{root}/encoded/batch_id={batch_id}"))
-
-
-def review_stream(reviews: DataFrame, root: str, checkpoint: str, every: str | None = None):
-    writer = (reviews.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, batch_id: process_batch(df, batch_id, root)))
+    users, items = id_logs(batch.sparkSession, root)
+    users.extend(batch, batch_id)
+    items.extend(batch, batch_id)
+    both = encode.transform_ids(encode.transform_ids(batch, users.of(batch), "user_id", "user_idx"), items.of(batch), "item_id", "item_idx")
+    rows = both.withColumn("item_node", F.col("item_idx") + F.lit(users.size())).withColumn("rating", F.col("rating").cast("double"))
+    rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/encoded/batch_id={batch_id}")
+
+
+def review_stream(reviews: DataFrame, root: str, checkpoint: str, every: str | None = None, wrap=lambda write: write):
+    """Encode a stream of reviews. ``wrap`` may wrap the function that writes a batch."""
+    write = wrap(lambda df, batch_id: process_batch(df, batch_id, root))
+    writer = reviews.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
     return writer.start()

@@ -80,7 +80,9 @@ def test_pubmed_xml_files(spark, tmp_path):
     assert a["title"] == "A & B" and a["abstract"] == "AIM: First. Second." and a["authors"] == ["Doe, Jo", "Solo"]
     assert (a["doi"], a["journal"], a["keywords"], a["published_at"]) == ("10.1/x", "J. Care", ["k1", "k2"], "2020-03-07")
     assert rows["12"]["published_at"] == "2021-01-01" and rows["12"]["authors"] == [] and rows["12"]["doi"] == ""
-    assert rows["13"]["published_at"] == "" and len(rows["13"]["abstract"]) == 2000
+    assert rows["13"]["published_at"] == "" and len(rows["13"]["abstract"]) > 2000
+    short = articles.read_pubmed(spark, str(tmp_path / "p.xml"), abstract_length=2000)
+    assert {r["pmid"]: len(r["abstract"]) for r in short.collect()}["13"] == 2000
 
 
 def test_atom_xml_files(spark, tmp_path):
