@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,79 +22,88 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import fresh_path, materialize
 from . import worker_caches
 from .common import bound_batches
-from .tokens import byte_alphabet, encoder
-from .worker_caches import Generations
+from .tokens import PRE_TOKENS, SAME_CLASSES, byte_alphabet, encoder
 
 # Tokens that are aligned at once, pairs that a task holds, and parts that pairs are dealt out to.
 ALIGNED_TOKENS, HELD_PAIRS, PAIR_PARTS = 400_000, 1_000_000, 256
 # Most pairs in the broadcast table: 64 MB.
 SHARED_PAIRS = 4_000_000
 _SPACE = "▁"
-_UNIT = re.compile(" +[^ ]*")
 
 
-class SpacedEncoder:
-    """A sentencepiece model in one worker, with cached words.
+class _Bytes:
+    """The bytes of each id of a vocabulary, laid out so that those of many ids are joined at once."""
 
-    No piece of such a model holds its space sign behind another character (checked), so no merge crosses
-    the place before a run of spaces, and texts can be cut there. Other models encode whole texts.
-    """
+    def __init__(self, entries: list[bytes]) -> None:
+        self.entries = entries
+        self.lengths = np.array([len(x) for x in entries], np.int64)
+        self._starts, self._flat = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(entries), np.uint8)
 
-    def __init__(self, path: str) -> None:
-        import sentencepiece
-        self._model = model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i)
-                      else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.plain = np.array([not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) for i in range(len(pieces))])
-        self._single = np.array([model.piece_to_id(_SPACE)], "<u4").tobytes()
-        self._cut = all(re.fullmatch(f"{_SPACE}*[^{_SPACE}]*", p) for p in pieces) and model.encode("ﬁ ①") != model.encode("fi 1")
-        self._words = Generations(self._whole)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._model.encode(text, num_threads=1), "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Packed ids of a text, to which the model adds a space in front."""
-        if not self._cut or not text or _SPACE in text:
-            return self._whole(text)
-        if "  " not in text and text[0] != " " and text[-1] != " ":
-            return b"".join(map(self._words.__getitem__, text.split(" ")))
-        return b"".join(self._single if unit == " " else self._words[unit[1:]] for unit in _UNIT.findall(" " + text))
+    def joined(self, ids: np.ndarray) -> bytes:
+        n = self.lengths[ids]
+        upto = np.cumsum(n)
+        at = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(self._starts[ids] - upto + n, n)
+        return self._flat[at].tobytes()
+
+
+def _by_rank(model: dict, entries: list[bytes]):
+    """The byte-level BPE as a table of ranks for the faster library; None if its ids are not in the order of its merges."""
+    vocabulary = model["vocab"]
+    merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    single = [i for i, held in enumerate(entries) if len(held) == 1]
+    if len(single) != 256 or not merged or merged != sorted(set(merged)) or max(single) > merged[0]:
+        return None
+    import tiktoken
+    ranks = {entries[i]: i for i in [*single, *merged]}
+    return tiktoken.Encoding("by rank", pat_str=PRE_TOKENS.pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 class Pair:
     """Both tokenizers in one worker: ids of texts, bytes and lengths of ids, and A's map to same-bytes B ids."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
-        self.a, self.b = encoder(path_a, "alignment", plain=True), SpacedEncoder(path_b)
+        import sentencepiece
+        self._a, self._b = encoder(path_a, "alignment", plain=True), sentencepiece.SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as file:
             model = json.load(file)
         back = {chr(c): b for b, c in byte_alphabet().items()}
-        entries = dict(model["model"]["vocab"])
-        self.bytes_a = [b""] * (1 + max(entries.values()))
-        for token, i in entries.items():
-            self.bytes_a[i] = bytes(back[c] for c in token) if all(c in back for c in token) else b""
-        self.bytes_b = self.b.bytes
+        vocabulary = model["model"]["vocab"]
+        entries = [b""] * (1 + max(vocabulary.values()))
+        for token, i in vocabulary.items():
+            entries[i] = bytes(back[c] for c in token) if all(c in back for c in token) else b""
+        self._fast = _by_rank(model["model"], entries) if self._a.cut else None
+        b = self._b
+        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+        self._bytes_a = _Bytes(entries)
+        self._bytes_b = _Bytes([bytes([int(p[3:5], 16)]) if b.is_byte(i) else b"" if b.is_control(i)
+                                else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)])
+        plain = [not (b.is_byte(i) or b.is_control(i) or b.is_unknown(i)) for i in range(len(pieces))]
         same = {}
-        for i, held in enumerate(self.bytes_b):
-            if held and (self.b.plain[i] or held not in same):  # a piece rather than a byte
+        for i, held in enumerate(self._bytes_b.entries):
+            if held and (plain[i] or held not in same):  # a piece rather than a byte
                 same[held] = i
-        self.same = np.array([same.get(held, -1) if held else -1 for held in self.bytes_a], np.int64)
-        self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
-        self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self.n_a, self.n_b = len(self.bytes_a), len(self.bytes_b)
+        self.same = np.array([same.get(held, -1) if held else -1 for held in entries], np.int64)
+        self.length_a, self.length_b = self._bytes_a.lengths, self._bytes_b.lengths
+        self.n_a, self.n_b = len(entries), len(pieces)
         self._written: list[str] = []
 
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Packed ids of both, or nothing if the text is missing or empty or the bytes of either differ from it."""
+    def ids_a(self, text: str) -> np.ndarray:
+        if self._fast is not None and SAME_CLASSES.fullmatch(text):
+            return self._fast.encode_to_numpy(text, disallowed_special=())
+        return np.frombuffer(self._a.ids(text), "<u4")
+
+    def ids_b(self, text: str) -> np.ndarray:
+        return np.array(self._b.encode(text, num_threads=1), np.uint32)
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both, or none if the text is missing or empty or the bytes of either differ from it."""
+        none = np.empty(0, np.uint32)
         if not text:
-            return b"", b""
+            return none, none
         whole = (" " + text).encode("utf-8", "surrogatepass")
-        a, b = self.a.ids(" " + text), self.b.ids(text)
-        if (b"".join(map(self.bytes_a.__getitem__, np.frombuffer(a, "<u4").tolist())) != whole
-                or b"".join(map(self.bytes_b.__getitem__, np.frombuffer(b, "<u4").tolist())) != whole):
-            return b"", b""
+        a, b = self.ids_a(" " + text), self.ids_b(text)
+        if self._bytes_a.joined(a) != whole or self._bytes_b.joined(b) != whole:
+            return none, none
         return a, b
 
     def written(self) -> list[str]:
@@ -190,7 +198,7 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", t
             sides = [], []
             for value in batch.column("text"):
                 for side, ids, n in zip(sides, pair.encode(value.as_py()), (pair.n_a, pair.n_b)):
-                    side.append(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if n <= 1 << 16 else ids)
+                    side.append(ids.astype("<u2" if n <= 1 << 16 else "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *[pa.array(s, pa.binary()) for s in sides]],
                                              names=["row", "doc_id", "a", "b"])
 

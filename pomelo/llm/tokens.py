@@ -24,9 +24,9 @@ _RUN = re.compile(r"\s\s")
 _CUTS = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 # The pre-tokens of a byte-level tokenizer, as its published pattern has them, and the characters
 # whose Unicode classes are the same in the regex module and in the tokenizer library.
-_PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _ONE_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-_SAME_CLASSES = re.compile(r"[\0-\u052f\u3000-\u9fff\uac00-\ud7a3]*")
+SAME_CLASSES = re.compile(r"[\0-\u052f\u3000-\u9fff\uac00-\ud7a3]*")
 
 
 def byte_alphabet() -> dict[int, int]:
@@ -83,9 +83,9 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         if _ONE_WORD.fullmatch(piece):
             return self._tokens[piece]
-        if _SAME_CLASSES.fullmatch(piece) is None:
+        if SAME_CLASSES.fullmatch(piece) is None:
             return self._pack(piece)
-        return b"".join(map(self._tokens.__getitem__, _PRE_TOKENS.findall(piece)))
+        return b"".join(map(self._tokens.__getitem__, PRE_TOKENS.findall(piece)))
 
     def pieces(self, text: str):
         """Yield (starts with a space that is left out, pieces) for consecutive parts of ``text``."""
