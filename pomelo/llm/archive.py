@@ -28,6 +28,8 @@ from .common import bound_batches
 MEMBER_BYTES = 16 << 20   # a member is gathered in memory before it is written
 ARCHIVE_BYTES = 1 << 30   # then the next archive begins
 READ_BYTES = 4 << 20      # records that lie one behind the other are read together up to here
+# Bytes of records that a task reads.
+TASK_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -261,7 +263,7 @@ def read_archives(spark: SparkSession, paths: DataFrame, payload: bool = True) -
     record_type, refers_to, html``; html only of responses, and only with ``payload``.
 
     First each archive's directory and indexes give ranges, neighbours together up to a bounded
-    size; then the ranges are dealt to all tasks and read. A payload's size and digest are those of
+    size, which are written; then they are dealt out, TASK_BYTES to a task, and read. A payload's size and digest are those of
     the bytes read, for a revisit those it states. No archives give no rows.
     """
     def locate(batches):
@@ -297,8 +299,11 @@ def read_archives(spark: SparkSession, paths: DataFrame, payload: bool = True) -
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    ranges = paths.select("path").mapInArrow(locate, "path string, offset long, length long")
-    return ranges.repartition("path", "offset").mapInArrow(fetch, schema + (", html string" if payload else ""))
+    ranges = materialize(paths.select("path").mapInArrow(locate, "path string, offset long, length long"), "ranges")
+    total = ranges.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    # a number given is a number kept: the rows are so small that they would be joined in one task otherwise
+    tasks = max(1, -(-total // TASK_BYTES))
+    return ranges.repartition(tasks).mapInArrow(fetch, schema + (", html string" if payload else ""))
 
 
 def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

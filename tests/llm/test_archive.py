@@ -134,3 +134,14 @@ def test_writer_rolls(tmp_path, monkeypatch):
 
 def test_empty(spark):
     assert archive.archived(frame(spark, [])).count() == 0
+
+
+def test_ranges_are_dealt_to_as_many_tasks_as_their_bytes_need(spark, monkeypatch):
+    rows = [(i, f"http://x/{i}", hashlib.sha256(b"%d" % i).hexdigest() * 2_000) for i in range(300)]
+    manifest = archive.write_archives(frame(spark, rows).repartition(8))
+    monkeypatch.setattr(archive, "TASK_BYTES", 1 << 14)
+    read = archive.read_archives(spark, manifest, payload=False)
+    tasks = read.rdd.getNumPartitions()
+    assert tasks > 4 and read.count() == 300
+    monkeypatch.setattr(archive, "TASK_BYTES", 1 << 30)
+    assert archive.read_archives(spark, manifest).rdd.getNumPartitions() == 1
