@@ -127,3 +127,10 @@ def test_frequent_pieces_of_all_texts_are_found(spark, monkeypatch):
     seen = Counter({f"p{i}": 1 for i in range(12)} | {"often": 50, "more": 40})
     token_counts._bounded(seen)
     assert set(seen) == {"often", "more"}
+
+
+def test_sample_is_of_bounded_size_and_from_all_rows(spark):
+    docs = documents(spark, [(i, "text") for i in range(20_000)])
+    some = [r["doc_id"] for r in token_counts.sampled(docs, documents=500).collect()]
+    assert 350 < len(some) < 650 and min(some) < 1000 and max(some) > 19_000
+    assert token_counts.sampled(docs, documents=20_000).count() == 20_000
