@@ -111,9 +111,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, span: int = SPAN)
     return taken
 
 
-def draw_of(doc_id: Column, seed: int = SEED) -> Column:
-    """The seeded hash that documents of a length are drawn by."""
-    return F.xxhash64(doc_id, F.lit(seed))
+def draw_of(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """The seeded hash that documents of a length are drawn by; only rows of one id and text share it."""
+    return F.xxhash64(doc_id, text, F.lit(seed))
 
 
 def _budgeted(key, lengths: pd.DataFrame, most: int) -> pd.DataFrame:
@@ -127,7 +127,10 @@ def _budgeted(key, lengths: pd.DataFrame, most: int) -> pd.DataFrame:
 
 def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES) -> tuple[DataFrame, DataFrame]:
     """Targets by source, and by source and length the passes and the largest hash that is drawn
-    once more (``source, size, passes, last_draw``); from narrow rows ``source, size, draw``."""
+    once more (``source, size, passes, last_draw, ties, of_ties``); from narrow rows ``source, size, draw``.
+
+    ``of_ties`` of the ``ties`` rows that have that very hash are drawn; mostly it is one row.
+    """
     by_length = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
     budgets = materialize(targets(
         by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most), "targets")
@@ -154,22 +157,34 @@ def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
              .filter("before < extra AND extra <= before + here")
              .select("source", "size", "bucket", (F.col("extra") - F.col("before")).alias("wanted")))
     edges = materialize(edges, "edges")
-    rank = F.row_number().over(Window.partitionBy("source", "size").orderBy("draw"))
-    last = (rows.alias("r").join(edges.alias("e"), same("r", "e") & (F.col("r.bucket") == F.col("e.bucket")))
-            .select("r.source", "r.size", "r.draw", "e.wanted").withColumn("rank", rank)
-            .filter("rank = wanted").select("source", "size", F.col("draw").alias("last_draw")))
+    # rows of one hash count as one with their number, so a hot id does not pile up in the window
+    here = (rows.alias("r").join(edges.alias("e"), same("r", "e") & (F.col("r.bucket") == F.col("e.bucket")))
+            .groupBy("r.source", "r.size", "r.draw", "e.wanted").agg(F.count(F.lit(1)).alias("ties")))
+    below = F.coalesce(F.sum("ties").over(Window.partitionBy("source", "size").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = (here.withColumn("below", below).filter("below < wanted AND wanted <= below + ties")
+            .select("source", "size", F.col("draw").alias("last_draw"), "ties", (F.col("wanted") - F.col("below")).alias("of_ties")))
     plan = (planned.alias("p").join(last.alias("t"), same("p", "t"), "left")
             .select("p.source", "p.size", "p.passes", F.when(F.col("p.extra") >= F.col("p.n"), F.lit(2**63 - 1))
-                    .otherwise(F.col("t.last_draw")).alias("last_draw")))
+                    .otherwise(F.col("t.last_draw")).alias("last_draw"), "t.ties", "t.of_ties"))
     return budgets, materialize(plan, "plan")
 
 
 def with_repeats(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` (with ``source, size, draw``) and how often the mix takes each (``repeats``)."""
+    """``rows`` (with ``source, size, draw``) and how often the mix takes each (``repeats``).
+
+    Of repeated rows of which only some are drawn, the first in any order are: they are alike.
+    """
     once_more = F.coalesce(F.col("r.draw") <= F.col("p.last_draw"), F.lit(False)).cast("long")
-    return (rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))
-                                 & (F.col("r.size") == F.col("p.size")), "left")
-            .select("r.*", (F.coalesce(F.col("p.passes"), F.lit(0)) + once_more).alias("repeats")))
+    joined = (rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))
+                                   & (F.col("r.size") == F.col("p.size")), "left"))
+    repeats = F.coalesce(F.col("p.passes"), F.lit(0)) + once_more
+    cut = F.coalesce((F.col("r.draw") == F.col("p.last_draw")) & (F.col("p.of_ties") < F.col("p.ties")), F.lit(False))
+    if plan.filter("of_ties < ties").isEmpty():
+        return joined.select("r.*", repeats.alias("repeats"))
+    place = F.row_number().over(Window.partitionBy("source", "size", "draw").orderBy(F.lit(0)))
+    alike = (joined.filter(cut).select("r.*", repeats.alias("repeats"), F.col("p.of_ties").alias("_of_ties"))
+             .withColumn("repeats", F.col("repeats") - (place > F.col("_of_ties")).cast("long")).drop("_of_ties"))
+    return joined.filter(~cut).select("r.*", repeats.alias("repeats")).unionByName(alike)
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -178,12 +193,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     ``taken`` is ``size * repeats``: a row is taken by every whole pass over its source, and once more
     if it is drawn for what is left of the target. Null and empty texts have size 0 and take
-    nothing. A null source is a source of its own, last in order. Rows with one id, length and source
-    are drawn together. The draw is a hash of id and seed, so reruns agree. An empty table gives an
+    nothing. A null source is a source of its own, last in order. The draw is a hash of id, text and
+    seed; of repeated rows as many are drawn as are wanted, so reruns agree. An empty table gives an
     empty result. Texts are read once; all else works on narrow rows.
     """
     rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                                   size_of(F.col(text)).alias("size"), draw_of(F.col(doc_id), seed).alias("draw")), "sizes")
+                                   size_of(F.col(text)).alias("size"), draw_of(F.col(doc_id), F.col(text), seed).alias("draw")), "sizes")
     budgets, plan = mix_plan(rows.select("source", "size", "draw"), weights, most)
     taken = with_repeats(rows, plan).alias("t")
     return (taken.join(budgets.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")))
@@ -195,9 +210,9 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns."""
     keys = docs.select(F.col(source).alias("source"), size_of(F.col(text)).alias("size"),
-                       draw_of(F.col(doc_id), seed).alias("draw"))
+                       draw_of(F.col(doc_id), F.col(text), seed).alias("draw"))
     _, plan = mix_plan(materialize(keys, "sizes"), weights, most)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("source"),
-                       size_of(F.col(text)).alias("size"), draw_of(F.col(doc_id), seed).alias("draw"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"),
+                       size_of(F.col(text)).alias("size"), draw_of(F.col(doc_id), F.col(text), seed).alias("draw"))
     return (with_repeats(rows, plan).filter("repeats > 0")
             .withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*"))

@@ -109,6 +109,25 @@ def test_repeated_and_missing_ids(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("key", [7, None])
+def test_of_repeated_rows_as_many_are_drawn_as_wanted(spark, key):
+    rows = [(key, "one two three four", "s")] * 400 + [(1000 + i, "one two three four", "t") for i in range(100)]
+    docs = frame(spark, rows)
+    got = mixing.mix(docs).collect()
+    for source_size in (1600, 400):
+        own = [r for r in got if r["source_size"] == source_size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 2
+        assert max(r["repeats"] for r in own) - min(r["repeats"] for r in own) <= 1
+    assert mixing.mixed_documents(docs).count() == sum(r["repeats"] for r in got)
+
+
+def test_columns_with_dots_stay(spark):
+    from pyspark.sql import functions as F
+    docs = frame(spark, rows_of(5, 40)).withColumn("a.b", F.lit(1)).withColumn("repeats", F.lit(2)).withColumn("row", F.lit(3))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.filter("`a.b` = 1 AND repeats = 2 AND row = 3").count() == mixed.count() > 0
+
+
 def test_mixed_documents(spark):
     rows = rows_of(4, 200)
     docs = frame(spark, rows)
