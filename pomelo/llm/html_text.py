@@ -48,7 +48,8 @@ _LAYOUT = re.compile(
     r"(?:.*[_-])?(?:content|main|page|site)[_-](?:.*[_-])?(?:wrap|wrapper|container|layout)", re.I)
 # Marks of parts that hold articles or long texts other than the page's own.
 _COMMENTS = frozenset(("comme", "respo", "disqu", "repli"))
-_OTHERS = _COMMENTS | {"relat", "recom", "promo", "spons", "ad", "ads", "adver", "adsen", "adslo"}
+_FOREIGN = _COMMENTS | {"promo", "spons", "ad", "ads", "adver", "adsen", "adslo"}
+_OTHERS = _FOREIGN | {"relat", "recom"}
 _HEADER_MARKS = re.compile(r"(?:^|[\s_-])(?:page-?header|header)(?:$|[\s_-])", re.I)
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|post|story|text|body|main)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -104,12 +105,13 @@ class _Page(HTMLParser):
         if tag in _VOID:
             return
         above, given = self.open[-1], dict(attrs)
-        marks = " ".join(filter(None, (given.get("class"), given.get("id"), given.get("role"))))
+        names = " ".join(filter(None, (given.get("class"), given.get("role"))))
+        marks = " ".join(filter(None, (names, given.get("id"))))
         main = tag in ("article", "main") or given.get("role") in ("main", "article") or given.get("itemprop") == "articleBody"
         apart = above.apart or _left_out(tag, given, above)
         own = "" if not main else "article" if tag == "article" or given.get("role") == "article" else "main"
         element = _Element(tag, above, apart, above.main or main, main or bool(block and _CONTENT.search(marks)),
-                           frozenset() if apart else _marks(tag, marks, above), own)
+                           frozenset() if apart else _marks(tag, names, given.get("id") or "", above), own)
         self.elements.append(element)
         self.open.append(element)
         self.links += tag == "a"
@@ -243,8 +245,22 @@ def _left_out(tag: str, given: dict, above: _Element) -> bool:
             or (given.get("aria-hidden") or "").lower() == "true" or bool(_HIDDEN.search(given.get("style") or "")))
 
 
-def _marks(tag: str, names: str, above: _Element) -> frozenset[str]:
-    """Kinds of the marks of an element: the beginnings of the words that match, so there are few."""
+def _marks(tag: str, names: str, own_id: str, above: _Element) -> frozenset[str]:
+    """Kinds of the marks of an element: the beginnings of the words that match, so there are few.
+
+    Within the article an id is mostly made from a heading. There it marks comments and adverts only, but for
+    a ``div`` that is no section of its own, and on a heading nothing; headings and paragraphs are marked as
+    comments and adverts only.
+    """
+    if not above.main or tag == "div" and "section" not in names.split():
+        return _kinds(tag, f"{names} {own_id}".strip(), above)
+    kinds = _kinds(tag, names, above)
+    if tag in _HEADINGS or tag == "p":
+        return kinds & _FOREIGN
+    return kinds | (_kinds("", own_id, above) & _FOREIGN)
+
+
+def _kinds(tag: str, names: str, above: _Element) -> frozenset[str]:
     kinds = {"form"} if tag == "form" else set()
     if names and tag not in ("html", "body", "article", "main") and (_MARKS.search(names) or _HEADER_MARKS.search(names)):
         for name in names.split():

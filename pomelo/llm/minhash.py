@@ -391,7 +391,7 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         F.col("pick.doc_id").alias("_id"), F.col("pick.text_hash").alias("_hash"), "n"), "kept")
     # the hash of a null text is the seed, here as there
     same = F.col(f"_row.{doc_id}").eqNullSafe(F.col("_id")) & (F.xxhash64(f"_row.{text}") == F.col("_hash"))
-    whole = docs.select(F.struct(*docs.columns).alias("_row"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     once = whole.join(kept.filter("n = 1"), same, "left_semi").select("_row.*")
     if kept.filter("n > 1").isEmpty():
         return once

@@ -100,3 +100,23 @@ def test_paragraphs_in_many_wrappers_of_their_own(wrappers):
     wrapped = lambda i: "<div>" * wrappers + f"<p>Paragraph {i}, which is long enough, and has commas.</p>" + "</div>" * wrappers
     text = main_text("<body><div><span>x</span>" + "".join(map(wrapped, range(400))) + "</div></body>")
     assert [f"Paragraph {i}," in text for i in range(400)] == [True] * 400
+
+
+LONG = "<p>An opening, long enough, with commas, to be the article.</p>" * 3
+
+
+@pytest.mark.parametrize("part,seen", [
+    ('<section id="related-work"><h2>Related work</h2><p>Others, before us, wrote this.</p></section>', "Others, before us"),
+    ('<h2 id="search">Search</h2><h2 id="login">Login</h2><h2 id="alerts">Alerts</h2>', "Search\n\nLogin\n\nAlerts"),
+    ('<section id="navigation"><p>Sailors, of old, found their way.</p></section>', "Sailors, of old"),
+    ('<p class="search-note">A note, on the search, of sorts.</p>', "A note, on the search"),
+    ('<div class="section" id="menus"><h2>Menus</h2><p>Cooks, of old, wrote them.</p></div>', "Cooks, of old")])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_ids_of_headings_mark_nothing_within_the_article(part, seen, tag):
+    assert seen in main_text(PAGE.format(article=f"<{tag}>{LONG}{part}</{tag}>"))
+
+
+@pytest.mark.parametrize("part", ['<section id="comments"><h2>Comments</h2><p>I, for one, disagree.</p></section>', '<div id="sidebar"><p>I, for one, disagree.</p></div>',
+                                  '<p class="ad">I, for one, disagree.</p>', '<section id="ads"><p>I, for one, disagree.</p></section>'])
+def test_comments_and_adverts_within_the_article_go(part):
+    assert "for one" not in main_text(PAGE.format(article=f"<article>{LONG}{part}</article>"))
