@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N, vectors as V
 from ..functions.hashing import xavier_bound, xavier_matrix
-from ..operators import baselines, content, evaluate, graph, recommend, scoring, training
+from ..operators import baselines, content, evaluate, graph, neighbours, recommend, scoring, training
 from ..session import materialize
 from . import domain as D, sqltext as S
 from .registry import query
@@ -20,6 +20,16 @@ def _components(df, key: str, out: str = "x"):
         key, F.col("d").cast("long").alias("d"), N.r6("_x").alias(out))
 
 
+MOMENTS = f"count(*) AS n, {S.r6('sum(x)')} AS total, {S.r6('sum(x*(d+1))')} AS by_place, {S.r6('sum(x*x)*1e3')} AS squares_milli"
+
+
+def _moments(df):
+    """Per node the number of components and three sums over all of them that each depends on."""
+    sum_of = lambda f: F.aggregate(F.transform("v", f), F.lit(0.0), lambda a, x: a + x)
+    return df.select("node", F.size("v").cast("long").alias("n"), N.r6(sum_of(lambda x, i: x)).alias("total"),
+                     N.r6(sum_of(lambda x, i: x * (i + 1))).alias("by_place"), N.r6(sum_of(lambda x, i: x * x) * 1e3).alias("squares_milli"))
+
+
 def _rounded(metrics):
     return metrics.select(*[N.r6(c).alias(c) if t == "double" else F.col(c) for c, t in metrics.dtypes])
 
@@ -100,17 +110,18 @@ def neighbour_mean(spark, sf):
     return _components(means.withColumnRenamed("m", "v"), "node")
 
 
-@query("lightgcn_one_layer", "G4", f"WITH {S.VECTORS} SELECT node, d, {S.r6('x')} AS x FROM final")
+@query("lightgcn_one_layer", "G4", f"WITH {S.VECTORS} SELECT node, {MOMENTS} FROM final GROUP BY node")
 def lightgcn_one_layer(spark, sf):
     p = D.prepared(spark, sf)
-    return _components(graph.lightgcn(p.start_vectors(), p.graph(), D.DIM, 1, n_nodes=sum(p.sizes())), "node")
+    return _moments(graph.lightgcn(p.start_vectors(), p.graph(), D.DIM, 1, n_nodes=sum(p.sizes())))
 
 
-@query("lightgcn_two_layers", "G4", f"""WITH {S.GRAPH}, {S.start_vectors()}, {S.propagate('start', 'one')}, {S.propagate('one', 'two')}
-SELECT node, d, {S.r6('(a.x+b.x+c.x)/3.0::DOUBLE')} AS x FROM start a JOIN one b USING (node, d) JOIN two c USING (node, d)""")
+@query("lightgcn_two_layers", "G4", f"""WITH {S.GRAPH}, {S.start_vectors()}, {S.propagate('start', 'one')}, {S.propagate('one', 'two')},
+every AS (SELECT * FROM start UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two),
+final AS (SELECT node, d, sum(x)/3.0::DOUBLE AS x FROM every GROUP BY node, d) SELECT node, {MOMENTS} FROM final GROUP BY node""")
 def lightgcn_two_layers(spark, sf):
     p = D.prepared(spark, sf)
-    return _components(graph.lightgcn(p.start_vectors(), p.graph(), D.DIM, 2, n_nodes=sum(p.sizes())), "node")
+    return _moments(graph.lightgcn(p.start_vectors(), p.graph(), D.DIM, 2, n_nodes=sum(p.sizes())))
 
 
 def _matrix_sql(name: str, seed: str, rows: int, cols: int) -> str:
@@ -123,13 +134,14 @@ def _matrix_sql(name: str, seed: str, rows: int, cols: int) -> str:
 m AS MATERIALIZED (SELECT graph.dst AS node, d, avg(x) AS x FROM graph JOIN start ON src = node GROUP BY graph.dst, d),
 {_matrix_sql('wl', 'sage-neighbour', D.DIM, D.DIM)}, {_matrix_sql('wr', 'sage-self', D.DIM, D.DIM)},
 l AS (SELECT node, r AS d, sum(w*x) AS x FROM m JOIN wl ON c = d GROUP BY node, r),
-s AS (SELECT node, r AS d, sum(w*x) AS x FROM start JOIN wr ON c = d GROUP BY node, r)
-SELECT a.node, a.d, {S.r6('coalesce(l.x, 0.0)+0.01::DOUBLE+s.x+a.x')} AS x FROM start a JOIN s USING (node, d) LEFT JOIN l USING (node, d)""")
+s AS (SELECT node, r AS d, sum(w*x) AS x FROM start JOIN wr ON c = d GROUP BY node, r),
+parts AS (SELECT node, d, x FROM start UNION ALL SELECT node, d, x + 0.01::DOUBLE FROM s UNION ALL SELECT node, d, x FROM l),
+final AS (SELECT node, d, sum(x) AS x FROM parts GROUP BY node, d) SELECT node, {MOMENTS} FROM final GROUP BY node""")
 def sage_forward(spark, sf):
     p = D.prepared(spark, sf)
     layer = {"neighbour": xavier_matrix(D.DIM, D.DIM, "sage-neighbour"),
              "self": xavier_matrix(D.DIM, D.DIM, "sage-self"), "bias": [0.01] * D.DIM}
-    return _components(graph.sage(p.start_vectors(), p.graph(), D.DIM, [layer], n_nodes=sum(p.sizes())), "node")
+    return _moments(graph.sage(p.start_vectors(), p.graph(), D.DIM, [layer], n_nodes=sum(p.sizes())))
 
 
 GAT_DIM, GAT_HEADS = D.DIM, 4
@@ -253,8 +265,9 @@ def bpr_gradient(spark, sf):
 mean AS (SELECT s.node, s.d, coalesce(g.x, 0.0)/(SELECT count(*) FROM t) AS x FROM start s LEFT JOIN grad g ON g.node = s.node AND g.d = s.d),
 {S.propagate('mean', 'spread')},
 back AS MATERIALIZED (SELECT a.node, a.d, (a.x+b.x)/2.0::DOUBLE AS x FROM mean a JOIN spread b ON a.node = b.node AND a.d = b.d),
-cut AS (SELECT least(1.0::DOUBLE, 1.0::DOUBLE/(sqrt(sum(x*x))+1e-6::DOUBLE)) AS f FROM back)
-SELECT s.node, s.d, {S.r6('s.x-0.0005::DOUBLE*(b.x*f)/(abs(b.x*f)+1e-8::DOUBLE)')} AS x FROM start s JOIN back b ON b.node = s.node AND b.d = s.d, cut""")
+cut AS (SELECT least(1.0::DOUBLE, 1.0::DOUBLE/(sqrt(sum(x*x))+1e-6::DOUBLE)) AS f FROM back),
+step AS (SELECT s.node, s.d, s.x-0.0005::DOUBLE*(b.x*f)/(abs(b.x*f)+1e-8::DOUBLE) AS x FROM start s JOIN back b ON b.node = s.node AND b.d = s.d, cut)
+SELECT node, {MOMENTS} FROM step GROUP BY node""")
 def bpr_training(spark, sf):
     """One whole epoch at full width: propagation, sampling, gradient, its propagation and an Adam step."""
     p = D.prepared(spark, sf)
@@ -262,7 +275,7 @@ def bpr_training(spark, sf):
     pos = p.part("train").select(F.col("user").alias("user_idx"), F.col("item").alias("item_idx"))
     links = p.train_edges().select(F.col("user_id").alias("src"), F.col("item_id").alias("dst"))
     vectors, _ = training.train_bpr(p.start_vectors(), pos, links, n_users, n_items, D.DIM, epochs=1)
-    return _components(vectors, "node")
+    return _moments(vectors)
 
 
 @query("als_training", "G10", None)
@@ -294,6 +307,40 @@ def nearest_items(spark, sf):
     return found.select("item", "neighbour", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _approximate() -> str:
+    """ann(item, neighbour, score, rank): members of the probed buckets, by exact score."""
+    t, b, p = neighbours.TABLES, neighbours.BITS, neighbours.PROBES
+    masks = ", ".join(f"({mask}, {at or '[]::INTEGER[]'})" for mask, at in neighbours.masks(b))
+    return f"""e AS (SELECT vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS MATERIALIZED (SELECT item, list_transform(v, lambda x: x/sqrt(list_inner_product(v, v))) AS v FROM e),
+{_matrix_sql('planes', '42', t * b, 64)}, planev AS (SELECT r, list(w ORDER BY c) AS h FROM planes GROUP BY r),
+prod AS MATERIALIZED (SELECT item, CAST(r//{b} AS INTEGER) AS tab, CAST(r%{b} AS INTEGER) AS b, list_inner_product(v, h) AS m FROM n, planev),
+code AS MATERIALIZED (SELECT item, tab, sum(CASE WHEN m > 0 THEN CAST(1 AS BIGINT) << b ELSE 0 END)::BIGINT AS code, list(abs(m) ORDER BY b) AS size FROM prod GROUP BY item, tab),
+masks(mask, places) AS (VALUES {masks}),
+cost AS (SELECT item, tab, xor(code, CAST(mask AS BIGINT)) AS code, row_number() OVER (PARTITION BY item, tab ORDER BY coalesce(list_sum(list_transform(places, lambda i: size[i+1])), 0.0), mask) AS place FROM code, masks),
+met AS (SELECT DISTINCT q.item, m.item AS neighbour FROM (SELECT * FROM cost WHERE place <= {p}) q JOIN code m ON q.tab = m.tab AND q.code = m.code WHERE q.item <> m.item),
+ann AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, neighbour) AS rank FROM (
+  SELECT met.item, met.neighbour, {S.r6('list_inner_product(a.v, b.v)')} AS score FROM met JOIN n a ON a.item = met.item JOIN n b ON b.item = met.neighbour)) WHERE rank <= 5)"""
+
+
+@query("approximate_neighbours", "T12 J13 G16", f"WITH {_approximate()} SELECT item, neighbour, score, rank FROM ann")
+def approximate_neighbours(spark, sf):
+    found = neighbours.approximate_neighbours(_item_vectors(spark, sf), 5, 64)
+    return found.select("item", "neighbour", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("approximate_recall", "T12 J13", f"""WITH {_approximate()},
+k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, neighbour) AS rank FROM (
+  SELECT a.item, b.item AS neighbour, {S.r6('list_inner_product(a.v, b.v)')} AS score FROM n a, n b WHERE a.item <> b.item)),
+x AS (SELECT k.item, CASE WHEN ann.item IS NULL THEN 0 ELSE 1 END AS hit FROM k LEFT JOIN ann ON ann.item = k.item AND ann.neighbour = k.neighbour WHERE k.rank <= 5)
+SELECT {S.r6('avg(hit)')} AS recall, count(*) AS n_exact FROM x""")
+def approximate_recall(spark, sf):
+    """How many of the exact five nearest of all items the index finds."""
+    items = _item_vectors(spark, sf)
+    found = neighbours.approximate_neighbours(items, 5, 64)
+    return neighbours.recall(found, scoring.nearest_items(items, 5), ["item", "neighbour"]).select(N.r6("recall").alias("recall"), "n_exact")
+
+
 # ---------------------------------------------------------------- recommendation
 
 @query("known_user_top_k", "T1 J6 J9 W4", f"""WITH {S.VECTORS}, {S.PARTS}, {S.top_k(10)} SELECT "user", item, score, rank FROM ranked""")
