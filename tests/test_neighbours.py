@@ -97,8 +97,8 @@ def test_blocks_that_are_skipped_are_counted(spark):
 def test_equal_lengths_are_split_by_hash(spark):
     items = table(spark, "item", range(300), np.ones((300, 2)))
     blocks = scoring._ItemBlocks(items, 300, 50)
-    assert blocks.count == 6
-    assert items.select(blocks.where().alias("b")).distinct().count() == 6
+    assert blocks.count == 5
+    assert items.select(blocks.where().alias("b")).distinct().count() == 5
 
 
 def test_no_full_grid_and_no_cross_join(spark):
