@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N, vectors as V
 from ..functions.hashing import xavier_bound, xavier_matrix
-from ..operators import baselines, content, evaluate, graph, neighbours, recommend, scoring, training
+from ..operators import baselines, content, evaluate, graph, layers, neighbours, recommend, scoring, training
 from ..session import materialize
 from . import domain as D, sqltext as S
 from .registry import query
@@ -222,12 +223,14 @@ def negative_sampling(spark, sf):
     return graph.sample_negatives(pos, pos, p.sizes()[1])
 
 
-def _bpr(seed=42) -> str:
-    return f"""{S.VECTORS}, {_negatives(seed)},
-t AS (SELECT u.v AS u, i.v AS i, j.v AS j, n.user_idx, n.item_idx, n.neg_idx, list_inner_product(u.v, i.v)-list_inner_product(u.v, j.v) AS gap FROM negatives n
+_TRIPLES_SQL = """t AS (SELECT u.v AS u, i.v AS i, j.v AS j, n.user_idx, n.item_idx, n.neg_idx, list_inner_product(u.v, i.v)-list_inner_product(u.v, j.v) AS gap FROM negatives n
   JOIN uvec u ON u."user" = user_idx JOIN ivec i ON i.item = item_idx JOIN ivec j ON j.item = neg_idx)"""
 
 
+def _bpr(seed=42) -> str:
+    return f"{S.VECTORS}, {_negatives(seed)}, {_TRIPLES_SQL}"
+
+
 # gradient per node and component, summed over the triples
 GRADIENT = """c AS (SELECT *, 1.0::DOUBLE/(1.0::DOUBLE+exp(gap)) AS p FROM t),
 x AS (SELECT user_idx, item_idx, neg_idx, p, unnest(u) AS u, unnest(i) AS i, unnest(j) AS j, unnest(range(64)) AS d FROM c),
@@ -278,6 +281,35 @@ def bpr_training(spark, sf):
     return _moments(vectors)
 
 
+@query("sage_gradient", "G5 G8 G10", f"""WITH {S.GRAPH}, {S.start_vectors()},
+m AS MATERIALIZED (SELECT graph.dst AS node, d, avg(x) AS x FROM graph JOIN start ON src = node GROUP BY graph.dst, d),
+{_matrix_sql('wl', 'sage-neighbour', D.DIM, D.DIM)}, {_matrix_sql('wr', 'sage-self', D.DIM, D.DIM)},
+l AS (SELECT node, r AS d, sum(w*x) AS x FROM m JOIN wl ON c = d GROUP BY node, r),
+s AS (SELECT node, r AS d, sum(w*x) AS x FROM start JOIN wr ON c = d GROUP BY node, r),
+parts AS (SELECT node, d, x FROM start UNION ALL SELECT node, d, x + 0.01::DOUBLE FROM s UNION ALL SELECT node, d, x FROM l),
+final AS MATERIALIZED (SELECT node, d, sum(x) AS x FROM parts GROUP BY node, d),
+vec AS MATERIALIZED (SELECT node, list(x ORDER BY d) AS v FROM final GROUP BY node),
+uvec AS (SELECT node AS "user", v FROM vec, size WHERE node < nu), ivec AS (SELECT node - nu AS item, v FROM vec, size WHERE node >= nu),
+{_negatives()}, {_TRIPLES_SQL}, {GRADIENT},
+mean AS MATERIALIZED (SELECT node, list(x/(SELECT count(*) FROM t) ORDER BY d) AS g FROM grad GROUP BY node),
+mv AS MATERIALIZED (SELECT node, list(x ORDER BY d) AS m FROM m GROUP BY node),
+sv AS MATERIALIZED (SELECT node, list(x ORDER BY d) AS x FROM start GROUP BY node),
+ds AS (SELECT unnest(range(1, {D.DIM + 1})) AS i), cells AS (SELECT a.i AS r, b.i AS c FROM ds a, ds b)
+SELECT 'neighbour' AS part, r-1 AS r, c-1 AS c, {S.r9('sum(g[r]*m[c])')} AS g FROM mean JOIN mv USING (node), cells GROUP BY r, c
+UNION ALL SELECT 'self', r-1, c-1, {S.r9('sum(g[r]*x[c])')} FROM mean JOIN sv USING (node), cells GROUP BY r, c
+UNION ALL SELECT 'bias', i-1, 0, {S.r9('sum(g[i])')} FROM mean, ds GROUP BY i""")
+def sage_gradient(spark, sf):
+    """Gradient of the loss at the weights of a SAGE layer, over all triples."""
+    p, triples = _triples(spark, sf)
+    n_users, n_items = p.sizes()
+    model = layers.Sage(D.DIM, 1)
+    model.weights = [{"neighbour": np.array(xavier_matrix(D.DIM, D.DIM, "sage-neighbour")), "self": np.array(xavier_matrix(D.DIM, D.DIM, "sage-self")),
+                      "bias": np.full(D.DIM, 0.01)}]
+    _, _, (grads,) = layers.loss_and_gradients(model, p.start_vectors(), p.graph(), triples, n_users, n_users + n_items, 1e-5)
+    rows = [(part, r, c, float(x)) for part in ("neighbour", "self", "bias") for r, row in enumerate(np.atleast_2d(grads[part].T).T) for c, x in enumerate(row)]
+    return spark.createDataFrame(rows, "part string, r long, c long, g double").withColumn("g", F.floor(F.col("g") * 1e9 + 0.5) / 1e9)
+
+
 @query("als_training", "G10", None)
 def als_training(spark, sf):
     p = D.prepared(spark, sf)
