@@ -98,3 +98,55 @@ def test_filters_keep_whole_rows(spark):
         assert kept.columns == docs.columns
         want = {r["doc_id"] for r in judge(docs, docs, labels).filter(f"predicted = {wanted}").collect()}
         assert {r["doc_id"] for r in kept.collect()} == want
+
+
+def naive_toxicity(packed, text):
+    """Bias, weights and the sum over all pairs of terms, one by one."""
+    import math
+    bias, hashes, w, v = toxicity._model(packed)
+    place = {int(h): i for i, h in enumerate(hashes)}
+    words = set(toxicity._WORD.findall(text.lower()))
+    hashed = {toxicity.xxhash.xxh32_intdigest(t, toxicity.SEED) for x in words for t in [x, *(x[:n] + "*" for n in toxicity.PREFIXES if len(x) > n)]}
+    at = [place[h] for h in hashed if h in place]
+    z = bias + sum(float(w[i]) for i in at)
+    for k, i in enumerate(at):
+        for j in at[:k]:
+            z += sum(float(x) * float(y) for x, y in zip(v[i], v[j]))
+    return 1 / (1 + math.exp(-z))
+
+
+def naive_quality(packed, text):
+    """Pooling token by token and the network unit by unit."""
+    import math
+    center, scale, (w1, b1, w2, b2), temperature, vectors = quality._model(packed)
+    ids = quality.units(text).tolist()
+    d, index = vectors.shape[1], quality._index_vectors()
+    x = np.zeros(3 * d + quality.EXTRA)
+    if ids:
+        own = [vectors[i // quality.SHAPES] for i in ids]
+        known = [bool(o.any()) for o in own]
+        own = [(o if k else vectors[quality.BUCKETS + i % quality.SHAPES]).astype(float) for o, k, i in zip(own, known, ids)]
+        for c in range(d):
+            column = [o[c] for o in own]
+            mean = sum(column) / len(ids)
+            x[c], x[d + c] = mean, math.sqrt(max(0.0, sum(y * y for y in column) / len(ids) - mean * mean))
+            x[2 * d + c] = sum(p * q for p, q in zip(column[1:], column)) / len(ids)
+        words = [i // quality.SHAPES for i in ids]
+        same = sum(p == q for p, q in zip(words[1:], words)) / (len(ids) - 1) if len(ids) > 1 else 0.0
+        length = math.sqrt(sum((sum(float(index[k][c]) for k in words) / len(ids)) ** 2 for c in range(d)) / quality.NONZEROS)
+        x[3 * d:] = sum(known) / len(ids), same, length
+    x = np.clip((x - center) / scale, -8, 8)
+    hidden = [max(0.0, float(b1[k]) + sum(float(a) * float(b) for a, b in zip(x, w1[:, k]))) for k in range(len(b1))]
+    return 1 / (1 + math.exp(-(sum(h * float(a) for h, a in zip(hidden, w2)) + float(b2[0])) / temperature))
+
+
+@pytest.mark.parametrize("run,learn,naive,column,tolerance", [
+    (toxicity.toxicity, toxicity.learn, naive_toxicity, "toxic", 1e-5), (quality.quality, quality.learn, naive_quality, "quality", 1e-4)])
+def test_scores_equal_a_naive_computation(spark, run, learn, naive, column, tolerance):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    packed = learn(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in run(docs, docs, labels).collect()}
+    short = [r for r in docs.collect() if len(r["text"] or "") < 4_000][:100]
+    assert packed is not None and len(short) > 50
+    for r in short:
+        assert got[r["doc_id"]] == pytest.approx(naive(packed, r["text"] or ""), abs=tolerance)
