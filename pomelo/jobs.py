@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .config import Config
 from .functions import numeric as N, vectors as V
 from .functions.hashing import xavier_bound
+from .operators.versions import VersionLog
 from .operators import (baselines, clean, content, encode, evaluate as E, graph, incremental as I, recommend as R, report,
                         split, training)
 from .session import TemporaryTables, exists, materialize
@@ -101,19 +102,10 @@ def stream(spark: SparkSession, kind: str, records: DataFrame, out: str, once: b
     raise ValueError(f"unknown stream {kind!r}; one of {STREAMS}")
 
 
-def record_version(spark: SparkSession, out: str, version: int, score: float, keep_last: int) -> DataFrame:
-    """Add a version to the manifest, delete the folders of those that are not retained, and return
-    the versions kept with the reason."""
-    spark.createDataFrame([(version, float(score))], "version long, val_score double").write.mode("append").parquet(f"{out}/manifest")
-    manifest = spark.read.parquet(f"{out}/manifest").groupBy("version").agg(F.max("val_score").alias("val_score"))
-    kept = I.retained_versions(manifest, keep_last)
-    names = {r["version"] for r in kept.collect()}
-    for row in manifest.collect():  # one row per version ever made
-        folder = f"{out}/v{row['version']}"
-        if row["version"] not in names and exists(spark, folder):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return kept
+def record_version(spark: SparkSession, out: str, version: int, score: float, keep_last: int, restart: bool = False) -> DataFrame:
+    """Record a version as one commit, delete the folders of those that no retained commit keeps, and return the
+    versions kept with the reason. Raises ``Conflict`` if another writer has recorded the version."""
+    return VersionLog(spark, out).record(version, score, keep_last, restart)
 
 
 def _text_vectors(businesses: DataFrame, item_ids: DataFrame, config: Config) -> DataFrame:
@@ -207,7 +199,7 @@ def scratch(spark: SparkSession, folder: str, out: str, config: Config) -> DataF
         clock.done("t_train")
         test = spark.read.parquet(f"{out}/test")
         metrics = materialize(_ranking(saved, test, config, config.evaluation.k_list), "metrics")
-        record_version(spark, out, 1, validate(saved.vectors), config.keep_last)
+        record_version(spark, out, 1, validate(saved.vectors), config.keep_last, restart=True)
         clock.done("t_eval")
         run_files.write_metrics(spark, f"{out}/metrics", "lightgcn_w1_v1", {}, {"ranking": metrics}, clock.seconds)
         rows = [tuple(r) for r in metrics.collect()]  # one row per K

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import plan
 from pomelo import cli, config, jobs
 from pomelo.operators import incremental as I
+from pomelo.operators.versions import VersionLog
 from pomelo.sources import edges as edge_files, reviews as review_files, runs as run_files
 from pomelo.streaming import index
 
@@ -98,8 +99,7 @@ def test_version_manifest_and_metric_file(spark, dataset, tmp_path):
     batch = spark.createDataFrame([("x1", "new", "b01", 5, "2020-02-01")],
                                   "review_id string, user_id string, item_id string, rating int, date string")
     jobs.incremental(spark, out, 1, batch, config.load(None, cfg))
-    manifest = spark.read.parquet(f"{out}/manifest")
-    assert {r["version"] for r in manifest.collect()} == {1, 2}
+    assert {r["version"] for r in VersionLog(spark, out).table().collect()} == {1, 2}
     kept = {r["version"] for r in jobs.record_version(spark, out, 3, 2.0, 1).collect()}
     assert kept == {3}  # the newest is the best, too
     assert not os.path.exists(f"{out}/v1") and not os.path.exists(f"{out}/v2")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pomelo.sources.commits import CommitLog, Conflict, to_fold
+from pomelo.operators.versions import VersionLog
 from pomelo.streaming import index
 from pomelo.streaming.ids import IdLog
 
@@ -170,3 +171,38 @@ def test_two_writers_of_ids(spark, tmp_path, monkeypatch):
     one.extend(keys(spark, ["a", "b"]), 0, "one")
     assert sorted(map(tuple, one.table().collect())) == [("a", 2), ("b", 0), ("c", 1)]
     assert json.loads(json.dumps(one._log.read(1)["batches"])) == {"one": 0, "two": 0}
+
+
+def model(path, *versions):
+    for v in versions:
+        os.makedirs(f"{path}/v{v}", exist_ok=True)
+        with open(f"{path}/v{v}/table", "w") as file:
+            file.write(str(v))
+
+
+def test_one_writer_of_a_version_wins(spark, tmp_path):
+    out = str(tmp_path)
+    model(out, 1, 2)
+    VersionLog(spark, out).record(1, 0.5, 2)
+    VersionLog(spark, out).record(2, 0.6, 2)
+    with pytest.raises(Conflict):
+        VersionLog(spark, out).record(2, 0.9, 2)
+    assert {tuple(r) for r in VersionLog(spark, out).table().collect()} == {(1, 0.5), (2, 0.6)}
+
+
+def test_a_reader_survives_retention(spark, tmp_path):
+    out = str(tmp_path)
+    model(out, 1, 2, 3, 4, 9)
+    log = VersionLog(spark, out, keep_commits=2)
+    log.record(1, 0.5, 1)
+    commit, kept = log.pin()
+    assert kept == [1]
+    log.record(2, 0.6, 1)  # keeps 2 only, but the commit before names 1
+    assert os.path.exists(f"{out}/v1/table") and log.pin() == (commit + 1, [2])
+    log.record(3, 0.7, 1)
+    assert not os.path.exists(f"{out}/v1") and os.path.exists(f"{out}/v2/table")
+    log.record(4, 0.1, 1)  # the newest and the best
+    assert log.pin()[1] == [3, 4]
+    assert os.path.exists(f"{out}/v9/table")  # of a writer that has not recorded it yet
+    log.record(1, 0.2, 1, restart=True)
+    assert {r["version"] for r in log.table().collect()} == {1}
