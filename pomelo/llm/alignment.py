@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import fresh_path, materialize
 from . import worker_caches
 from .common import bound_batches
-from .tokens import PRE_TOKENS, SAME_CLASSES, byte_alphabet, encoder
+from .tokens import encoder, entry_bytes
 
 # Tokens that are aligned at once, pairs that a task holds, and parts that pairs are dealt out to.
 ALIGNED_TOKENS, HELD_PAIRS, PAIR_PARTS = 400_000, 1_000_000, 256
@@ -46,18 +46,6 @@ class _Bytes:
         return self._flat[at].tobytes()
 
 
-def _by_rank(model: dict, entries: list[bytes]):
-    """The byte-level BPE as a table of ranks for the faster library; None if its ids are not in the order of its merges."""
-    vocabulary = model["vocab"]
-    merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-    single = [i for i, held in enumerate(entries) if len(held) == 1]
-    if len(single) != 256 or not merged or merged != sorted(set(merged)) or max(single) > merged[0]:
-        return None
-    import tiktoken
-    ranks = {entries[i]: i for i in [*single, *merged]}
-    return tiktoken.Encoding("by rank", pat_str=PRE_TOKENS.pattern, mergeable_ranks=ranks, special_tokens={})
-
-
 class Pair:
     """Both tokenizers in one worker: ids of texts, bytes and lengths of ids, and A's map to same-bytes B ids."""
 
@@ -65,13 +53,8 @@ class Pair:
         import sentencepiece
         self._a, self._b = encoder(path_a, "alignment", plain=True), sentencepiece.SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as file:
-            model = json.load(file)
-        back = {chr(c): b for b, c in byte_alphabet().items()}
-        vocabulary = model["model"]["vocab"]
-        entries = [b""] * (1 + max(vocabulary.values()))
-        for token, i in vocabulary.items():
-            entries[i] = bytes(back[c] for c in token) if all(c in back for c in token) else b""
-        self._fast = _by_rank(model["model"], entries) if self._a.cut else None
+            vocabulary = json.load(file)["model"]["vocab"]
+        entries = entry_bytes(vocabulary)
         b = self._b
         pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         self._bytes_a = _Bytes(entries)
@@ -88,8 +71,6 @@ class Pair:
         self._written: list[str] = []
 
     def ids_a(self, text: str) -> np.ndarray:
-        if self._fast is not None and SAME_CLASSES.fullmatch(text):
-            return self._fast.encode_to_numpy(text, disallowed_special=())
         return np.frombuffer(self._a.ids(text), "<u4")
 
     def ids_b(self, text: str) -> np.ndarray:

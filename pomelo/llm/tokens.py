@@ -37,6 +37,27 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
 
 
+def entry_bytes(vocabulary: dict[str, int]) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary; none for entries that are not written in its alphabet."""
+    back = {chr(c): b for b, c in byte_alphabet().items()}
+    entries = [b""] * (1 + max(vocabulary.values(), default=0))
+    for token, i in vocabulary.items():
+        entries[i] = bytes(back[c] for c in token) if all(c in back for c in token) else b""
+    return entries
+
+
+def by_rank(model: dict):
+    """A byte-level BPE as a table of ranks for a faster library; None if its ids are not in the order of its merges."""
+    vocabulary = model["vocab"]
+    entries = entry_bytes(vocabulary)
+    merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    single = [i for i, held in enumerate(entries) if len(held) == 1]
+    if len(single) != 256 or not merged or merged != sorted(set(merged)) or max(single) > merged[0]:
+        return None
+    import tiktoken
+    return tiktoken.Encoding("by rank", pat_str=PRE_TOKENS.pattern, mergeable_ranks={entries[i]: i for i in [*single, *merged]}, special_tokens={})
+
+
 class Encoder:
     """One tokenizer file in one worker. ``ids(text)`` gives the ids as packed unsigned 32-bit
     little-endian numbers. Special strings in a text are tokens of their own, as is the library's
@@ -69,6 +90,7 @@ class Encoder:
             self._special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
             self._parts = (re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")")
                            if added else None)
+            self._fast = by_rank(description["model"]) if self.cut else None
         self._tokens = Generations(self._pre_token)
         self.after_space = Generations(lambda piece: self._piece(" " + piece))
         self.at_start = Generations(self._piece)
@@ -119,13 +141,20 @@ class Encoder:
             if special:
                 out.append(self._special[part])
                 continue
+            if self._fast is not None and SAME_CLASSES.fullmatch(part):
+                out.append(self._fast.encode_to_numpy(part, disallowed_special=()).astype("<u4").tobytes())
+                continue
             for spaced, pieces in self.pieces(part):
                 out.extend(map((self.after_space if spaced else self.at_start).__getitem__, pieces))
         return b"".join(out)
 
     def length(self, text: str) -> int:
         """Number of tokens of a piece, or of a whole text if the tokenizer's texts can't be cut."""
-        return len(self._piece(text)) // 4 if self.cut else len(self._whole(text))
+        if not self.cut:
+            return len(self._whole(text))
+        if self._fast is not None and SAME_CLASSES.fullmatch(text):
+            return len(self._fast.encode_ordinary(text))
+        return len(self._piece(text)) // 4
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

@@ -79,7 +79,6 @@ def rows_of(n, seed):
 
 def test_ids_equal_the_libraries(libraries):
     pair = al.Pair(A, B)
-    assert pair._fast is not None
     for text in texts(20_000, 2):
         found = libraries(text) if text else None
         a, b = pair.encode(text)
@@ -87,11 +86,6 @@ def test_ids_equal_the_libraries(libraries):
     assert 50256 not in pair.encode("<|endoftext|>")[0]
 
 
-def test_other_vocabularies_have_no_ranks():
-    model = {"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}
-    assert al._by_rank(model, [b"a", b"b", b"ab"]) is None
-
-
 def test_against_a_plain_loop(spark, libraries):
     rows = rows_of(250, 3)
     want, count = brute(rows, libraries)

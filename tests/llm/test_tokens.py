@@ -134,3 +134,19 @@ def test_sample_is_of_bounded_size_and_from_all_rows(spark):
     some = [r["doc_id"] for r in token_counts.sampled(docs, documents=500).collect()]
     assert 350 < len(some) < 650 and min(some) < 1000 and max(some) > 19_000
     assert token_counts.sampled(docs, documents=20_000).count() == 20_000
+
+
+def test_rank_table_agrees_on_all_characters_that_it_is_used_for(library):
+    enc = tokens.Encoder(tokenizer_path())
+    assert enc._fast is not None
+    characters = [c for c in map(chr, range(0x110000)) if tokens.SAME_CLASSES.fullmatch(c)]
+    assert len(characters) > 30_000
+    for at in range(0, len(characters), 500):
+        some = [f"x{c}y {c}1{c}{c} {c}\n{c}'s" for c in characters[at:at + 500]]
+        for text, want in zip(some, library.encode_batch(some, add_special_tokens=False)):
+            assert np.frombuffer(enc.ids(text), "<u4").tolist() == want.ids, repr(text)
+            assert enc.length(text) == len(want.ids)
+
+
+def test_other_vocabularies_have_no_ranks():
+    assert tokens.by_rank({"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}) is None
