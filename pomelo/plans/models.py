@@ -479,6 +479,12 @@ def capped_eval_users(spark, sf):
     return evaluate.eval_users(D.prepared(spark, sf).part("test"), D.RELEVANT_FROM, 5000).select("user")
 
 
+@query("first_eval_users", "T11", f"""WITH {S.PREPARED}, {S.PARTS} SELECT DISTINCT "user" FROM test_part WHERE rating >= 4.0 ORDER BY "user" LIMIT 20""")
+def first_eval_users(spark, sf):
+    """A cap below the number of users."""
+    return evaluate.eval_users(D.prepared(spark, sf).part("test"), D.RELEVANT_FROM, 20).select("user")
+
+
 POPULAR = """ranked AS (SELECT u."user", t.item, t.rank FROM (SELECT DISTINCT "user" FROM test_part) u, (
   SELECT item, row_number() OVER (ORDER BY count(*) DESC, item) AS rank FROM train_part GROUP BY item) t WHERE t.rank <= 20)"""
 

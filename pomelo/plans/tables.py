@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import numeric as N, text
+from ..functions import numeric as N, text, terms
 from ..functions.hashing import xavier_bound
 from ..operators import clean, encode, graph, subset
 from ..session import fresh_path
@@ -167,6 +167,21 @@ def category_keywords(spark, sf):
         "category", ("brand#1", "eco", "medi"), ("brand#11", "brand#12")))
 
 
+def _any_of(column: str, words) -> str:
+    return "(" + " OR ".join("contains({}, '{}')".format(column, w.replace("'", "''")) for w in words) + ")"
+
+
+_EXCLUDED = ", ".join("'{}'".format(w.replace("'", "''")) for w in terms.NOT_MEDICAL)
+
+
+@query("medical_words", "P5", f"""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS category FROM documents)
+SELECT category FROM w WHERE category <> '' AND {_any_of('lower(category)', terms.MEDICAL_FRAGMENTS)} AND lower(category) NOT IN ({_EXCLUDED})""")
+def medical_words(spark, sf):
+    """All words of the documents that the built-in lists call medical."""
+    words = D.table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("category")).filter("category <> ''").distinct()
+    return words.filter(clean.is_medical("category"))
+
+
 @query("source_routing", "P12 P8 P9", f"""WITH {S.ARTICLES}
 SELECT doc_id, CASE WHEN lost THEN NULL ELSE source END AS tag FROM articles WHERE NOT bad""")
 def source_routing(spark, sf):

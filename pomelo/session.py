@@ -33,11 +33,15 @@ def build_session(app_name: str = "pomelo", master: str | None = None,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, else the session's warehouse."""
-    for setting in ("spark.checkpoint.dir", "spark.sql.warehouse.dir"):
-        configured = spark.conf.get(setting, None)
-        if configured:
-            return configured.rstrip("/")
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the session's warehouse, unless that is a
+    folder of one machine and the executors run on others."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    one_machine = spark.sparkContext.master.startswith("local")
+    if warehouse and (one_machine or not warehouse.startswith(("file:", "/"))):
+        return warehouse.rstrip("/")
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
