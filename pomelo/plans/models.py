@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N, vectors as V
 from ..functions.hashing import xavier_bound, xavier_matrix
-from ..operators import baselines, content, evaluate, graph, layers, neighbours, recommend, scoring, training
+from ..operators import (baselines, content, evaluate, graph, layers, minibatch, neighbours, recommend, scoring, split,
+                         training)
 from ..session import materialize
 from . import domain as D, sqltext as S
 from .registry import query
@@ -281,6 +282,92 @@ def bpr_training(spark, sf):
     return _moments(vectors)
 
 
+BATCHES = 4
+
+
+def _sampled_links() -> str:
+    """sup(user_idx, item_idx, batch) and links(batch, src, dst): supervision edges in batches and their sub-graphs."""
+    def hop(i: int, frontier: str, limit: int) -> str:
+        return f"""w{i} AS (SELECT batch, f.dst, slot, degree, slot*degree//{limit} AS low, (slot+1)*degree//{limit} - slot*degree//{limit} AS n
+  FROM {frontier} f JOIN spans USING (dst), range({limit}) s(slot)),
+h{i} AS MATERIALIZED (SELECT batch, src, w.dst FROM (SELECT *, ({S.h60(f'42-1-{i}', 'batch', 'dst')} + low + {S.h60(f'42-1-{i}', 'batch', 'dst', 'slot')} % n) % degree AS place FROM w{i} WHERE n > 0) w
+  JOIN placed p ON p.dst = w.dst AND p.place = w.place)"""
+    return f"""o AS (SELECT user_id, item_id, row_number() OVER (ORDER BY {S.h(7, 'user_id', 'item_id')}, user_id, item_id) AS rn, count(*) OVER () AS n FROM train),
+roles AS MATERIALIZED (SELECT user_id AS user_idx, item_id - nu AS item_idx, rn <= floor(n*0.8::DOUBLE) AS message FROM o, size),
+sup AS MATERIALIZED (SELECT user_idx, item_idx, {S.h('42-1-batch', 'user_idx', 'item_idx')} % {BATCHES} AS batch FROM roles WHERE NOT message),
+mgraph AS (SELECT user_idx AS src, item_idx + nu AS dst FROM roles, size WHERE message UNION ALL SELECT item_idx + nu, user_idx FROM roles, size WHERE message),
+placed AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY {S.h(42, 'src', 'dst')}, src) - 1 AS place FROM mgraph),
+spans AS (SELECT dst, count(*) AS degree FROM placed GROUP BY dst),
+f0 AS (SELECT batch, user_idx AS dst FROM sup UNION SELECT batch, item_idx + nu FROM sup, size),
+{hop(0, 'f0', 15)}, f1 AS (SELECT DISTINCT batch, src AS dst FROM h0), {hop(1, 'f1', 10)},
+links AS MATERIALIZED (SELECT batch, src, dst FROM h0 UNION SELECT batch, src, dst FROM h1)"""
+
+
+@query("batch_subgraphs", "G12 G13", f"WITH {S.GRAPH}, {_sampled_links()} SELECT CAST(batch AS INTEGER) AS batch, src, dst FROM links")
+def batch_subgraphs(spark, sf):
+    """The sub-graphs of all batches of an epoch."""
+    p, supervision, message = _roles(spark, sf)
+    n_users, n_items = p.sizes()
+    return minibatch.epoch_batches(supervision, _positives(p), minibatch.SampledNeighbours(message), n_users, n_items, BATCHES, seed="42-1")[1]
+
+
+def _positives(p):
+    return p.part("train").select(F.col("user").alias("user_idx"), F.col("item").alias("item_idx"))
+
+
+def _roles(spark, sf):
+    """(user_idx, item_idx) of the supervision edges and the others as a graph."""
+    p = D.prepared(spark, sf)
+    n_users, _ = p.sizes()
+    roles = materialize(split.supervision_split(p.train_edges().select("user_id", "item_id"), ["user_id", "item_id"]), "roles")
+    supervision = roles.filter("role = 'supervision'").select(F.col("user_id").alias("user_idx"), (F.col("item_id") - n_users).alias("item_idx"))
+    message = graph.both_directions(roles.filter("role = 'message'").select(F.col("user_id").alias("src"), F.col("item_id").alias("dst")))
+    return p, supervision, message
+
+
+def _batch_step(b: int) -> str:
+    """st{b+1}(node, d, x, m1, m2): the state after a batch, from st{b}."""
+    fix = (1 - 0.999 ** (b + 1)) ** 0.5
+    root = lambda c: f"sqrt(CAST(greatest(coalesce({c}, 1), 1) AS DOUBLE))"
+
+    def spread(source: str, target: str, start: str, end: str) -> str:
+        return f"""{target} AS MATERIALIZED (SELECT s.node, s.d, (s.x + coalesce(m.x, 0.0)/{root('g.degree')})/2.0::DOUBLE AS x FROM {source} s LEFT JOIN (
+  SELECT l.{end} AS node, v.d, sum(v.x/{root('dg.degree')}) AS x FROM l{b} l JOIN {source} v ON l.{start} = v.node LEFT JOIN deg{b} dg ON dg.node = l.{start}
+  GROUP BY l.{end}, v.d) m ON m.node = s.node AND m.d = s.d LEFT JOIN deg{b} g ON g.node = s.node)"""
+
+    return f"""l{b} AS (SELECT src, dst FROM links WHERE batch = {b}), deg{b} AS (SELECT dst AS node, count(*) AS degree FROM l{b} GROUP BY dst),
+k{b} AS (SELECT user_idx, item_idx + nu AS i, neg_idx + nu AS j FROM negatives JOIN sup USING (user_idx, item_idx), size WHERE batch = {b}),
+met{b} AS (SELECT user_idx AS node FROM k{b} UNION SELECT i FROM k{b} UNION SELECT j FROM k{b} UNION SELECT src FROM l{b} UNION SELECT dst FROM l{b}),
+loc{b} AS MATERIALIZED (SELECT * FROM st{b} WHERE node IN (SELECT node FROM met{b})),
+{spread(f'loc{b}', f'fin{b}', 'src', 'dst')},
+fv{b} AS MATERIALIZED (SELECT node, list(x ORDER BY d) AS v FROM fin{b} GROUP BY node), rv{b} AS MATERIALIZED (SELECT node, list(x ORDER BY d) AS v FROM loc{b} GROUP BY node),
+x{b} AS (SELECT user_idx, i, j, 1.0::DOUBLE/(1.0::DOUBLE+exp(list_inner_product(a.v, b.v)-list_inner_product(a.v, c.v))) AS p,
+  unnest(a.v) AS va, unnest(b.v) AS vb, unnest(c.v) AS vc, unnest(range({D.DIM})) AS d FROM k{b} JOIN fv{b} a ON a.node = user_idx JOIN fv{b} b ON b.node = i JOIN rv{b} c ON c.node = j),
+gr{b} AS (SELECT node, d, sum(x) AS x FROM (SELECT user_idx AS node, d, sum((vc-vb)*p + 2e-5::DOUBLE*va) AS x FROM x{b} GROUP BY 1, 2
+  UNION ALL SELECT i, d, sum(2e-5::DOUBLE*vb - va*p) FROM x{b} GROUP BY 1, 2) GROUP BY node, d),
+rg{b} AS (SELECT j AS node, d, sum(va*p + 2e-5::DOUBLE*vc) AS x FROM x{b} GROUP BY 1, 2), n{b} AS (SELECT count(*) AS n FROM k{b}),
+dn{b} AS MATERIALIZED (SELECT s.node, s.d, coalesce(g.x, 0.0)/n AS x FROM n{b}, loc{b} s LEFT JOIN gr{b} g ON g.node = s.node AND g.d = s.d),
+{spread(f'dn{b}', f'bk{b}', 'dst', 'src')},
+tot{b} AS MATERIALIZED (SELECT s.node, s.d, s.x + coalesce(g.x, 0.0)/n AS x FROM n{b}, bk{b} s LEFT JOIN rg{b} g ON g.node = s.node AND g.d = s.d),
+cut{b} AS (SELECT least(1.0::DOUBLE, 1.0::DOUBLE/(sqrt(sum(x*x))+1e-6::DOUBLE)) AS f FROM tot{b}),
+mom{b} AS (SELECT s.node, s.d, s.x, 0.9::DOUBLE*m1 + 0.1::DOUBLE*g.x*f AS m1, 0.999::DOUBLE*m2 + 0.001::DOUBLE*g.x*f*g.x*f AS m2
+  FROM cut{b}, loc{b} s JOIN tot{b} g ON g.node = s.node AND g.d = s.d),
+st{b + 1} AS MATERIALIZED (SELECT node, d, x - {0.0005 * fix / (1 - 0.9 ** (b + 1))!r}::DOUBLE*m1/(sqrt(m2) + {1e-8 * fix!r}::DOUBLE) AS x, m1, m2 FROM mom{b}
+  UNION ALL SELECT * FROM st{b} WHERE node NOT IN (SELECT node FROM met{b}))"""
+
+
+@query("sampled_training", "G8 G10 G12 G13", f"""WITH {S.GRAPH}, {S.start_vectors()}, {_sampled_links()}, {_negatives('42-1')},
+st0 AS MATERIALIZED (SELECT node, d, x, 0.0::DOUBLE AS m1, 0.0::DOUBLE AS m2 FROM start), {", ".join(_batch_step(b) for b in range(BATCHES))}
+SELECT node, {MOMENTS} FROM st{BATCHES} GROUP BY node""")
+def sampled_training(spark, sf):
+    """An epoch of four batches of supervision edges, each on a sampled sub-graph of the other edges."""
+    p, supervision, message = _roles(spark, sf)
+    n_users, n_items = p.sizes()
+    vectors, _ = minibatch.train_sampled(p.start_vectors(), supervision, message, _positives(p), n_users, n_items, D.DIM, epochs=1,
+                                         batch_edges=-(-supervision.count() // BATCHES))
+    return _moments(vectors)
+
+
 @query("sage_gradient", "G5 G8 G10", f"""WITH {S.GRAPH}, {S.start_vectors()},
 m AS MATERIALIZED (SELECT graph.dst AS node, d, avg(x) AS x FROM graph JOIN start ON src = node GROUP BY graph.dst, d),
 {_matrix_sql('wl', 'sage-neighbour', D.DIM, D.DIM)}, {_matrix_sql('wr', 'sage-self', D.DIM, D.DIM)},
