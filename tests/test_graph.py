@@ -188,3 +188,54 @@ def test_text_vectors_group_equal_categories(spark):
     assert np.allclose(v[0], v[1]) and not np.allclose(v[0], v[2]) and not v[3].any()
     encoded = content.model_vectors(df, "categories", lambda: (lambda texts: [[len(t), 1.0] for t in texts]))
     assert {r["item"]: r["v"] for r in encoded.collect()}[2] == [4.0, 1.0]
+
+
+@pytest.fixture
+def large_vectors(monkeypatch):
+    """Vectors of any size count as too large to broadcast, and sums as too many for one task."""
+    monkeypatch.setattr(graph.V, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(graph, "SUM_BYTES", 32)
+
+
+@pytest.mark.parametrize("layers", [0, 1, 3])
+def test_lightgcn_sent_to_ranges_equals_matrix_form(spark, large_vectors, layers):
+    mat, vectors, edges = make(spark)
+    a = adjacency(7)
+    deg = np.maximum(a.sum(1), 1)
+    norm = a / np.sqrt(np.outer(deg, deg))
+    x, total = mat, mat.copy()
+    for _ in range(layers):
+        x = norm @ x
+        total += x
+    assert np.allclose(as_matrix(graph.lightgcn(vectors, edges, 4, layers, n_nodes=7), 7), total / (layers + 1))
+
+
+def test_a_large_vector_is_sent_once_to_a_range_of_nodes(spark, monkeypatch):
+    """Rows shuffled are pairs of a source and a range, not edges; a sum needs no second shuffle."""
+    monkeypatch.setattr(graph.V, "BROADCAST_BYTES", 0)
+    pairs = [(s, 50 + (s + i) % 50) for s in range(50) for i in range(40)] + [(3, None), (None, 60), (3, 99), (200, 60)]
+    edges = spark.createDataFrame([(s, d, 0.5) for s, d in pairs], "src long, dst long, w double")
+    vectors = spark.range(100).select(F.col("id").alias("node"), F.array(F.col("id") * 1.0, F.lit(2.0)).alias("v"))
+    for weight in (None, "w"):
+        for how in (F.sum, F.avg):
+            one = graph.sum_messages(edges, vectors, 2, how=how, weight=weight)
+            many = graph.sum_messages(edges, vectors, 2, how=how, weight=weight, n_nodes=100)
+            assert {(r["node"], *r["m"]) for r in one.collect()} == {(r["node"], *r["m"]) for r in many.collect()}
+    many.collect()
+    final = many._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    top = final[:final.index("shufflepartitionidpassthrough")]
+    assert "Exchange hashpartitioning" not in top
+    assert "collect_list" in final
+
+
+def test_gat_with_large_vectors_equals_small(spark, monkeypatch):
+    _, vectors, edges = make(spark)
+    heads = [{"matrix": xavier_matrix(4, 4, f"m{i}"), "src": xavier_matrix(1, 4, f"a{i}")[0], "dst": xavier_matrix(1, 4, f"b{i}")[0]} for i in range(3)]
+    layers = [{"heads": heads, "bias": [0.1, 0.0, -0.1, 0.2]}] * 2
+    small = as_matrix(graph.gat(vectors, edges, 4, layers, n_nodes=7), 7)
+    monkeypatch.setattr(graph.V, "BROADCAST_BYTES", 0)
+    asked = []
+    real = graph.meet_vectors
+    monkeypatch.setattr(graph, "meet_vectors", lambda *a, **k: asked.append(1) or real(*a, **k))
+    assert np.allclose(as_matrix(graph.gat(vectors, edges, 4, layers, n_nodes=7), 7), small)
+    assert len(asked) == 2  # one meeting per layer, not one per head
