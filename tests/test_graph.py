@@ -239,3 +239,15 @@ def test_gat_with_large_vectors_equals_small(spark, monkeypatch):
     monkeypatch.setattr(graph, "meet_vectors", lambda *a, **k: asked.append(1) or real(*a, **k))
     assert np.allclose(as_matrix(graph.gat(vectors, edges, 4, layers, n_nodes=7), 7), small)
     assert len(asked) == 2  # one meeting per layer, not one per head
+
+
+def test_profiles_by_ranges_of_users_equal_those_by_ratings(spark, monkeypatch):
+    from pomelo.operators import recommend
+    liked = spark.createDataFrame([(0, 1, 5.0), (0, 2, 3.0), (0, 2, 3.0), (4, 0, 1.0), (9, 2, None), (None, 1, 2.0), (7, None, 2.0), (6, 1, 0.0), (3, 8, 1.0)],
+                                  "user long, item long, rating double")
+    items = spark.createDataFrame([(i, [i + 0.5, -1.0 * i]) for i in range(3)], "item long, v array<double>")
+    plain = recommend.profile_vectors(liked, items, 2).collect()
+    monkeypatch.setattr(graph.V, "BROADCAST_BYTES", 0)
+    sent = recommend.profile_vectors(liked, items, 2, 10)
+    assert "shufflepartitionidpassthrough" in sent._jdf.queryExecution().executedPlan().toString()
+    assert {(r["user"], *r["v"]) for r in sent.collect()} == {(r["user"], *r["v"]) for r in plain} and len(plain) == 3
