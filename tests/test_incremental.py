@@ -117,3 +117,16 @@ def test_incremental_unknown_ids_are_detected(spark):
     batch = spark.createDataFrame([("a",), ("q",), ("q",)], "user_id string")
     assert [r[0] for r in I.detect_new(batch, ids(spark, "user_id", "user_idx", "ab"), "user_id").collect()] == ["q"]
     assert pytest.approx(I.replay_size(100, 0.0)) == 0
+
+
+def test_history_and_batch_are_joined_once(spark):
+    """Both are read from one table that is written once, and hold the rows of the joins."""
+    from conftest import SF, plan
+    from pomelo.plans import domain as D
+
+    rows = D.with_late(spark, SF)
+    for part, mine in ((D.history(spark, SF), "NOT late"), (D.batch(spark, SF), "late")):
+        assert "lineitem.parquet" not in plan(part)
+        wanted = rows.filter(mine).drop("late")
+        assert part.columns == wanted.columns and part.count() == wanted.count() > 0
+        assert part.exceptAll(wanted).isEmpty()
