@@ -107,3 +107,10 @@ def test_no_full_grid_and_no_cross_join(spark):
     assert "CartesianProduct" not in text and "NestedLoop" not in text and "cut" in text
     text = plan(neighbours.approximate_neighbours(items, 5, 4))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_vectors_are_not_sent_to_every_bucket(spark):
+    """Queries and members meet in blocks; buckets are found where they meet."""
+    items = table(spark, "item", range(300), clustered(300, 6))
+    text = plan(neighbours.approximate_neighbours(items, 5, 6))
+    assert "code" not in text and "BroadcastHashJoin [_ib" in text

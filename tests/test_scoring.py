@@ -105,3 +105,30 @@ def test_comparison(spark):
     after = spark.createDataFrame([(1, 11, 1), (1, 10, 2), (1, 13, 3)], cols)
     got = {r["item"]: (r["status"], r["rank_change"]) for r in recommend.compare(before, after).collect()}
     assert got == {10: ("down", -1), 11: ("up", 1), 12: ("dropped", None), 13: ("new", None)}
+
+
+def test_user_blocks_are_not_sent_along_item_blocks(spark):
+    """However many item blocks there are, a user's vector is dealt out once, before the blocks come to it."""
+    from conftest import plan
+    from pomelo.functions import vectors as V
+    items = table(spark, "item", range(200), np.ones((200, 3)) * np.arange(1, 201)[:, None])
+    seen = spark.createDataFrame([(1, 2), (1, 3)], "user long, item long")
+    text = plan(scoring.top_k_by_dot(items.withColumnRenamed("item", "user"), items, 3, seen, 50, 20))
+    after = [line for line in text.splitlines() if "Exchange" in line and "_ib" in line and "Broadcast" not in line and "u_mat" in line]
+    assert "BroadcastHashJoin [_ib" in text and not after
+    # a length in a lambda is evaluated for every component
+    unit = plan(items.select(V.unit("v").alias("v")))
+    assert "/ sqrt" not in unit.lower() and "/ SQRT" not in unit
+
+
+def test_single_precision_only_rules_out(spark, monkeypatch):
+    """Scores that differ by less than single precision can tell are ranked as in double precision."""
+    monkeypatch.setattr(scoring, "BOUND_COLUMNS", 16)
+    draw = np.random.default_rng(4)
+    x = 1000.0 + draw.normal(size=(300, 4)) * 1e-3
+    y = draw.normal(size=(70, 4))
+    got = {}
+    rows = scoring.top_k_by_dot(table(spark, "user", range(70), y), table(spark, "item", range(300), x), 5).collect()
+    for r in sorted(rows, key=lambda r: (r["user"], r["rank"])):
+        got.setdefault(r["user"], []).append((r["item"], r["score"]))
+    assert got == brute(range(70), y, range(300), x, 5, set())
