@@ -251,3 +251,36 @@ def test_profiles_by_ranges_of_users_equal_those_by_ratings(spark, monkeypatch):
     sent = recommend.profile_vectors(liked, items, 2, 10)
     assert "shufflepartitionidpassthrough" in sent._jdf.queryExecution().executedPlan().toString()
     assert {(r["user"], *r["v"]) for r in sent.collect()} == {(r["user"], *r["v"]) for r in plain} and len(plain) == 3
+
+
+def test_triples_meet_vectors_in_ranges(spark, monkeypatch):
+    """Beyond the broadcast limit scores are the same, and no vector is shuffled along triples."""
+    from conftest import plan
+    from pomelo.operators import training
+    n_users, n_items = 60, 50
+    vectors = spark.range(n_users + n_items).select(F.col("id").alias("node"), F.array(*[F.sin(F.col("id") * (i + 1)) for i in range(3)]).alias("v"))
+    pairs = spark.range(400).select((F.col("id") % n_users).alias("user_idx"), F.pmod(F.xxhash64("id"), F.lit(n_items)).alias("item_idx")).distinct()
+    triples = graph.sample_negatives(pairs, pairs, n_items)
+    view = lambda df: sorted((r[0], r[1], r[2], round(r[3], 9), round(r[4], 9)) for r in df.select("user_idx", "item_idx", "neg_idx", "gap", "size").collect())
+    few = view(training.score_triples(triples, vectors, n_users, 3, n_users + n_items))
+    ends = pairs.select(F.col("user_idx").alias("user_id"), (F.col("item_idx") + n_users).alias("item_id"))
+    plain = sorted((r["user_id"], r["item_id"], round(r["score"], 9)) for r in graph.pair_scores(ends, vectors).collect())
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 0)
+    many = training.score_triples(triples, vectors, n_users, 3, n_users + n_items)
+    assert "[neg_idx" not in "".join(x for x in plan(many).splitlines() if "MergeJoin" in x)
+    assert view(many) == few and len(few) > 3000
+    met = graph.pair_scores(ends, vectors, n_users, n_items, 3)
+    assert "ShuffledHashJoin" in plan(met)
+    assert sorted((r["user_id"], r["item_id"], round(r["score"], 9)) for r in met.collect()) == plain
+
+
+def test_negatives_are_tested_where_they_are_drawn(spark, monkeypatch):
+    from conftest import plan
+    pairs = spark.range(900).select((F.col("id") % 30).alias("user_idx"), (F.floor(F.col("id") / 30) * 2).alias("item_idx"))
+    view = lambda df: sorted(map(tuple, df.select("user_idx", "item_idx", "slot", "neg_idx").collect()))
+    local = graph.sample_negatives(pairs, pairs, 61)
+    text = plan(local)
+    assert "slot" not in "".join(x for x in text.splitlines() if "Exchange" in x) and "draws" not in text
+    monkeypatch.setattr(graph, "CARRIED", 29)  # all users go through the join
+    joined = graph.sample_negatives(pairs, pairs, 61)
+    assert view(local) == view(joined) and local.count() == 9000
