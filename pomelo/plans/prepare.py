@@ -102,7 +102,7 @@ o AS (SELECT user_id, item_id, row_number() OVER (ORDER BY {S.h(7, 'user_id', 'i
 SELECT user_id, item_id, CASE WHEN rn <= floor(n*0.8::DOUBLE) THEN 'message' ELSE 'supervision' END AS role FROM o""")
 def supervision_split(spark, sf):
     train = D.prepared(spark, sf).train_edges().select("user_id", "item_id")
-    return split.supervision_split(train, ["user_id", "item_id"])
+    return split.supervision_split(train, ["user_id", "item_id"], stored=True)
 
 
 @query("sized_subsets", "T3 J4", f"""WITH {S.REVIEWS},

@@ -120,3 +120,37 @@ def test_unknown_keys(spark):
 def test_frequency_ids_break_ties_by_key(spark):
     df = spark.createDataFrame([(x,) for x in "ccbbad"], "k string")
     assert {r["k"]: r["i"] for r in encode.frequency_ids(df, "k", "i").collect()} == {"b": 0, "c": 1, "a": 2, "d": 3}
+
+
+def test_stored_keys_are_not_written_again(spark, monkeypatch):
+    df, rows = skewed(spark)
+    written = []
+    real = ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda df, name, *a, **b: written.append(name) or real(df, name, *a, **b))
+    wanted = [1, 7_000, 15_000, 30_000]
+    cuts = ordering.order_cutoffs(df, ["d", "id"], F.col("d"), lambda n: wanted, stored=True)
+    assert [(c["id"], c["d"]) for c in cuts] == [rows[p - 1] for p in wanted]
+    assert "keys" not in written
+
+
+def test_pairs_split_by_key_are_those_split_by_id(spark, monkeypatch):
+    rng = random.Random(4)
+    reviews = spark.createDataFrame(
+        [(f"r{i}", rng.randrange(-20, 40) * 7, rng.randrange(30), rng.randrange(1, 6)) for i in range(3000)],
+        "review_id string, user_id long, item_id long, rating int").withColumn(
+        "date", F.date_add(F.lit("2020-01-01").cast("date"), (F.xxhash64("review_id") % 50).cast("int")))
+    # some users are unknown, and the items from 25 on; user -140 has met no other items
+    reviews = reviews.filter("user_id <> -140 OR item_id >= 25")
+    users, items = spark.range(-300, 200).withColumnRenamed("id", "user_id"), spark.range(25).withColumnRenamed("id", "item_id")
+    by_key = lambda pairs: split.temporal_split(pairs, ["user_id", "item_id"], stored=True)
+    for limit in (0, encode.V.BROADCAST_BYTES):
+        monkeypatch.setattr(encode.V, "BROADCAST_BYTES", limit)
+        got, user_ids, item_ids = encode.preprocess(reviews, users, items, 3, by_key)
+        edges, _, _ = encode.preprocess(reviews, users, items, 3)
+        old = split.temporal_split(edges, ["user_idx", "item_idx"])
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, old.collect()))
+        kept = reviews.filter("rating >= 3 AND user_id < 200 AND item_id < 25")
+        for ids, key, idx in ((user_ids, "user_id", "user_idx"), (item_ids, "item_id", "item_idx")):
+            assert [tuple(r) for r in ids.orderBy(idx).select(key, idx).collect()] == [
+                (r[0], n) for n, r in enumerate(kept.select(key).distinct().orderBy(key).collect())]
+        assert got.count() == kept.select("user_id", "item_id").distinct().count()
