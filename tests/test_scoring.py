@@ -135,3 +135,32 @@ def test_single_precision_only_rules_out(spark, monkeypatch):
     for r in sorted(rows, key=lambda r: (r["user"], r["rank"])):
         got.setdefault(r["user"], []).append((r["item"], r["score"]))
     assert got == brute(range(70), y, range(300), x, 5, set())
+
+
+def test_steps_yield_what_may_still_enter(spark, monkeypatch):
+    """Many steps: lists equal brute force, ties included, and steps write far fewer rows than K per user each."""
+    rng = np.random.default_rng(9)
+    users, items = rng.integers(-3, 4, (150, 6)).astype(float), rng.integers(-3, 4, (900, 6)).astype(float)
+    users[7] = 0.0
+    seen = {(u, i) for u in range(150) for i in range(0, 900, 7) if rng.random() < 0.3}
+    written, real = {}, scoring.materialize
+    def kept(df, name, *a, **b):
+        out = real(df, name, *a, **b)
+        written.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(scoring, "materialize", kept)
+    monkeypatch.setattr(scoring, "at_once", lambda block, dim: 1)
+    monkeypatch.setattr(scoring._ItemBlocks, "__init__", _hashed_blocks)
+    pairs = spark.createDataFrame(sorted(seen), "user long, item long")
+    rows = scoring.top_k_by_dot(table(spark, "user", range(150), users), table(spark, "item", range(900), items), 5, pairs, 32, 60)
+    got = {}
+    for r in sorted(rows.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["user"], []).append((r["item"], r["score"]))
+    assert got == brute(range(150), users, range(900), items, 5, seen)
+    assert len(written["best"]) > 12 and sum(written["best"]) < 10 * 5 * 150 and written["users"] == [written["cut"][0]]
+
+
+def _hashed_blocks(self, items, n_items, size):
+    """Blocks of no order, none of which can be skipped."""
+    self.count = -(-n_items // size)
+    self.where, self.longest = lambda: scoring._block("item", self.count), [float("inf")] * self.count
