@@ -285,3 +285,16 @@ def test_negatives_are_tested_where_they_are_drawn(spark, monkeypatch):
     monkeypatch.setattr(graph, "CARRIED", 29)  # all users go through the join
     joined = graph.sample_negatives(pairs, pairs, 61)
     assert view(local) == view(joined) and local.count() == 9000
+
+
+def test_als_frees_its_shuffles_on_the_way(spark):
+    """A checkpoint is written within few iterations, after which shuffle files of the iterations before it go."""
+    import glob
+    import random
+    from urllib.parse import urlparse
+    rng = random.Random(5)
+    pairs = spark.createDataFrame([(rng.randrange(40), rng.randrange(30), 5) for _ in range(300)], "user_idx long, item_idx long, rating int")
+    sets = lambda: set(glob.glob(f"{urlparse(spark.sparkContext.getCheckpointDir() or '/none').path}/rdd-*"))
+    before = sets()
+    assert training.train_als(pairs, 40, rank=4, iterations=3).count() == len({r[0] for r in pairs.collect()}) + len({r[1] for r in pairs.collect()})
+    assert sets() - before
