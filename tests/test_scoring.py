@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,18 @@ def _hashed_blocks(self, items, n_items, size):
     """Blocks of no order, none of which can be skipped."""
     self.count = -(-n_items // size)
     self.where, self.longest = lambda: scoring._block("item", self.count), [float("inf")] * self.count
+
+
+def test_a_user_block_is_sent_once(spark):
+    """However many item blocks come to a user block, one row has its vectors, also where its first item block is empty."""
+    rng = np.random.default_rng(3)
+    users = scoring._packed(table(spark, "user", range(40), rng.normal(size=(40, 3))), "user", "v", "_ub", scoring._block("user", 2), "u")
+    items = scoring._packed(table(spark, "item", range(30), rng.normal(size=(30, 3))), "item", "v", "_ib", F.pmod("item", F.lit(3)) + 1, "i")
+    users = users.withColumns({"_ibs": F.expr("sequence(0L, 3L)"), "s_users": F.lit(None).cast("array<long>"), "s_items": F.lit(None).cast("array<long>")})
+
+    def rows(batches):
+        for batch in batches:
+            yield pd.DataFrame({"user": batch["ub"], "item": batch["u_mat"].notna().astype("int64"), "score": [0.0 if x is None else float(len(x)) for x in batch["i_ids"]]})
+
+    got = scoring._met_blocks(users, items, None, 0, 3, rows).groupBy("user").agg(F.sum("item").alias("sent"), F.sum("score").alias("items")).collect()
+    assert [(r["sent"], r["items"]) for r in got] == [(1, 30.0)] * 2
