@@ -298,3 +298,15 @@ def test_als_frees_its_shuffles_on_the_way(spark):
     before = sets()
     assert training.train_als(pairs, 40, rank=4, iterations=3).count() == len({r[0] for r in pairs.collect()}) + len({r[1] for r in pairs.collect()})
     assert sets() - before
+
+
+def test_computed_vectors_are_not_taken_for_small_ones(spark, monkeypatch):
+    """Spark takes an array that is computed for one number, so vectors known to be large would be broadcast by their estimate."""
+    from conftest import plan
+    monkeypatch.setattr(graph.V, "BROADCAST_BYTES", 0)
+    edges = spark.range(200).select(F.col("id").alias("src"), F.pmod(F.col("id") * 7, F.lit(200)).alias("dst"))
+    vectors = graph.initial_vectors(spark.range(200).withColumnRenamed("id", "node"), 8, 200)
+    sums = graph.sum_messages(edges, vectors, 8, n_nodes=200)
+    assert "Broadcast" not in plan(sums)
+    got, start = ({r[0]: r[1] for r in df.collect()} for df in (sums, vectors))
+    assert all(got[i * 7 % 200] == pytest.approx(start[i]) for i in range(200))
